@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_bpe
+from .quality import op7_quality_rules
 from .secrets import op1_secret_scans
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_quality_rules": op7_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
