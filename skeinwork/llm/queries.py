@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_bpe
+from .mixing import op8_mix_sources
 from .quality import op7_quality_rules
 from .secrets import op1_secret_scans
+from .sharding import op3_sharding
+from .topk import OP10_SQL, op10_exact_top_k
+from .urls import op4_url_filters
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op3_sharding": op3_sharding,
+    "op4_url_filters": op4_url_filters,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op8_mix_sources": op8_mix_sources,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_top_k": OP10_SQL,
+}
