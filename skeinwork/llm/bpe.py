@@ -80,6 +80,7 @@ class ByteBPE:
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.to_stand_in = {b: c for b, c in enumerate(stand_in)} | {255: "\n"}
         self.pieces = regex.compile(pattern).findall
+        self.matches = regex.compile(pattern).finditer
         self.unit_ids: dict[str, tuple[int, ...] | None] = {}
 
     def learn(self, pieces) -> dict[str, tuple[int, ...]]:
