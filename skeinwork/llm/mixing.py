@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
-from ._common import n_words, read
+from ._common import fresh, n_words, read
 
 #: Rows a range holds on average, and the largest number of ranges (per source, and of time).
 RANGE_ROWS = 256
@@ -71,8 +71,9 @@ def mix(
     source_col: str = "source",
 ) -> DataFrame:
     """Id, ``source``, ``size``, ``source_size``, ``target``, ``finish`` (the first
-    service's virtual time), ``taken`` (words served) of every row; ``most`` is at
-    most 2, as a document is served twice at most."""
+    service's virtual time), ``times`` (services), ``taken`` (words served) and
+    ``key`` (seeded hash of id and text) of every row; ``most`` is at most 2, as a
+    document is served twice at most."""
     if not 0 < share <= most <= 2 or min(weights) <= 0:
         raise ValueError("weights are positive, and 0 < share <= most <= 2")
     source, text = F.col(source_col), F.col(text_col)
@@ -125,7 +126,7 @@ def mix(
         .first()
     )
     if last is None:
-        taken = F.col("size") * F.when(F.col("finish").isNotNull(), 2).otherwise(0)
+        times = F.when(F.col("finish").isNotNull(), 2).otherwise(0)
     else:
         row = Window.orderBy("at", "src", "key").rowsBetween(Window.unboundedPreceding, 0)
         end = (
@@ -143,8 +144,27 @@ def mix(
                 | ((F.col(at) == end["at"]) & ((F.col("src") < end["src"]) | ((F.col("src") == end["src"]) & (F.col("key") <= end["key"]))))
             )
         times = F.coalesce(inside("finish").cast("int"), F.lit(0)) + F.coalesce(inside("again").cast("int"), F.lit(0))
-        taken = F.col("size") * times
-    return timed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "finish", taken.cast("long").alias("taken"))
+    return timed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "finish", times.alias("times"), (F.col("size") * times).cast("long").alias("taken"), "key")
+
+
+def serve(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row as often as it is served, with the columns it came with."""
+    key, source, copies, times, turn = fresh(df, "key", "source", "copies", "times", "turn")
+    mixed = mix(df, weights, share, most, seed, id_col, text_col, source_col)
+    by_key = [key, source]
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(source)
+    # Rows that agree in all three share their services evenly.
+    served = mixed.groupBy(F.col("key").alias(key), name(source_col)).agg(F.sum("times").alias(times), F.count("*").alias(copies)).filter(F.col(times) > 0)
+    keyed = df.select("*", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias(key), name(source_col))
+    own = F.floor(F.col(times) / F.col(copies)) + (F.col(turn) <= F.col(times) % F.col(copies)).cast("int")
+    return (
+        keyed.join(durable(served), by_key)
+        .withColumn(turn, F.row_number().over(Window.partitionBy(*by_key).orderBy(*by_key)))
+        .withColumn(times, own.cast("int"))
+        .filter(F.col(times) > 0)
+        .withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times))))
+        .select(*df.columns)
+    )
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:

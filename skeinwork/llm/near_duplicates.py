@@ -1,6 +1,6 @@
 """Near-duplicate documents by circulant MinHash, banding and exact Jaccard.
 
-A text's set are its distinct shingles of three words (A-Z lower-cased), as 64-bit
+A text's set are its distinct shingles of some words, three unless told otherwise (A-Z lower-cased), as 64-bit
 hashes. Two permutations of a 32-bit universe give the whole signature: the first
 is applied once, the second again and again, each time shifted by one place.
 Signatures are cut into bands; documents that agree in a band share a bucket.
@@ -13,11 +13,11 @@ confirmed: first the best partner of each node, then, where that did not join th
 components, all the rest. So no pair that shares a bucket goes unexamined, and a
 group of thousands of copies costs one comparison a document, not one a pair.
 
-With 42 bands of 6 coordinates a pair at the limit of 0.85 shares no bucket with
-probability 2e-9. The comparison by signature passes over a pair at the limit with
+The bands are the widest at which a pair at the limit shares no bucket with a
+probability below 1e-8: 42 of 6 coordinates for 0.85. The comparison by signature passes over a pair at the limit with
 probability below 1e-6.
 
-Defined results: a text with fewer than three words but at least one has one
+Defined results: a text with fewer words than a shingle but at least one has one
 shingle, the whole sequence; null and wordless texts have none, and link with
 nothing; the component of a document is its smallest non-null id; rows that agree
 in id and text are one document; further columns are not read.
@@ -38,7 +38,7 @@ from ._common import fresh, map_batches, read
 from .components import components
 
 SHINGLE_WORDS = 3
-BANDS, ROWS = 42, 6
+COORDINATES = 252
 SLACK = 0.12
 BLOCK_ROWS = 512
 #: Links join sets of which 100 * intersection >= LIMIT * union.
@@ -81,7 +81,7 @@ class Shingler:
         return np.unique(x)
 
 
-_SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)
+_SHIFTS = np.arange(COORDINATES, dtype=np.uint32)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -97,12 +97,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-_BAND_SALT = _mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
+def rows_in_band(limit: int) -> int:
+    """The most coordinates in a band at which a pair at the limit is missed with a
+    probability below 1e-8."""
+    return max(r for r in range(1, 13) if r == 1 or (1 - (limit / 100) ** r) ** (COORDINATES // r) < 1e-8)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    x = _BAND_SALT.copy()
-    for column in sig.reshape(BANDS, ROWS).T.astype(np.uint64):
+_BAND_SALT = _mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64))
+
+
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    bands = len(sig) // rows
+    x = _BAND_SALT[:bands].copy()
+    for column in sig[: bands * rows].reshape(bands, rows).T.astype(np.uint64):
         x = _mix64(x * np.uint64(0x9E3779B97F4A7C15) ^ column)
     return x.view(np.int64)
 
@@ -114,7 +121,7 @@ def similar(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     return 100 * both >= limit * (len(a) + len(b) - both)
 
 
-def _signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _signed(df: DataFrame, limit: int, words: int, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``row`` (hash of id and text), ``n``, ``node`` (hash of the set), ``bands``, ``bits``."""
     inner = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType(
@@ -128,8 +135,10 @@ def _signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ]
     )
 
+    rows = rows_in_band(limit)
+
     def make():
-        shingle = Shingler()
+        shingle = Shingler(words)
 
         def work(cols):
             out = {"id": cols["id"], "row": cols["row"], "n": [], "node": [], "bands": [], "bits": []}
@@ -138,7 +147,7 @@ def _signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sig = signature(s) if len(s) else None
                 out["n"].append(len(s))
                 out["node"].append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-                out["bands"].append(band_keys(sig) if len(s) else None)
+                out["bands"].append(band_keys(sig, rows) if len(s) else None)
                 out["bits"].append(sig.astype(np.uint8).tobytes() if len(s) else None)
             return out
 
@@ -151,14 +160,14 @@ def _signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # links
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, limit: int, words: int) -> DataFrame:
     """Those of the distinct pairs ``a``, ``b`` whose full sets are similar enough."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches):
-        shingle = Shingler()
+        shingle = Shingler(words)
         for batch in batches:
             sets: dict[int, np.ndarray] = {}
             links = []
@@ -233,12 +242,12 @@ def _across(open_members: DataFrame, least: float) -> DataFrame:
     ).distinct()
 
 
-def link(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def link(df: DataFrame, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: ``id``, ``row``, ``n``, ``node``; nodes: ``node``, ``component``, ``low``, ``rep``).
 
     ``low`` is the component's smallest id, ``rep`` the (id, row) that stands for it.
     """
-    signed = durable(_signed(df, id_col, text_col))
+    signed = durable(_signed(df, limit, words, id_col, text_col))
     nodes = durable(
         signed.filter("n > 0")
         .groupBy("node")
@@ -256,7 +265,7 @@ def link(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: st
     texts = durable(wanted.join(rows, "row").groupBy("node").agg(F.first("text").alias("text")))
 
     first = members.filter("node != leader").select(*_ordered("node", "leader")).distinct()
-    links = durable(_confirm(first, texts, limit))
+    links = durable(_confirm(first, texts, limit, words))
     labels = components(links)
 
     # Buckets that do not hang together yet; in those of two all pairs have been tried.
@@ -276,7 +285,7 @@ def link(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: st
                 .select("p.a", "p.b")
                 .distinct()
             )
-        links = durable(links.unionByName(_confirm(pairs.select("a", "b"), texts, limit)))
+        links = durable(links.unionByName(_confirm(pairs.select("a", "b"), texts, limit, words)))
         labels = components(links)
 
     named = _labelled(nodes.select("node", "low", "rep"), labels)
@@ -285,17 +294,17 @@ def link(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: st
     return signed.select("id", "row", "n", "node"), placed
 
 
-def near_duplicates(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``n_shingles``, ``component_id`` and ``kept`` of every row."""
-    docs, placed = link(df, limit, id_col, text_col)
+    docs, placed = link(df, limit, words, id_col, text_col)
     out = docs.join(placed.select("node", "low"), "node", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(df: DataFrame, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, the one with the smallest id, and every row
     without words, with the columns they came with."""
-    docs, placed = link(df, limit, id_col, text_col)
+    docs, placed = link(df, limit, words, id_col, text_col)
     row, turn = fresh(df, "row", "turn")
     stay = docs.filter("n = 0").select("row").unionByName(placed.select("rep.row")).distinct().select(F.col("row").alias(row))
     kept = df.withColumn(row, F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col))).join(stay, row, "left_semi")

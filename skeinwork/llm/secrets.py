@@ -466,7 +466,7 @@ def redact_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     columns = df.columns
     inner = df.withColumn(data_col, F.col(text_col).cast("binary")).drop(text_col)
     out = map_batches(inner, inner.schema, make)
-    return out.select(*(F.decode(F.col(data_col), F.lit("UTF-8")).alias(c) if c == text_col else F.col(c) for c in columns))
+    return out.select(*(F.col(data_col).cast("string").alias(c) if c == text_col else F.col(c) for c in columns))
 
 
 def op1_secret_scans(spark, sf_dir: str) -> DataFrame:
