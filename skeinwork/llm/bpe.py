@@ -104,7 +104,7 @@ class ByteBPE:
         for p in distinct:  # a space and letters: one piece, and a unit
             if p[0] == " " and p[1:].isalpha() and p[1:] in known:
                 found[p] = known[p[1:]]
-        found.update(self.learn(distinct - found.keys()))
+        found.update(self.learn([p for p in distinct if p not in found]))
         return [tuple(chain.from_iterable(map(found.__getitem__, s))) for s in split]
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
@@ -119,7 +119,7 @@ class ByteBPE:
         known = self.unit_ids
         if len(known) > UNITS_KEPT:
             known.clear()
-        new = set().union(*units) - known.keys()
+        new = {u for u in set().union(*units) if u not in known}
         letters = [u for u in new if u.isalpha()]  # one piece, with its space
         fresh = dict(zip(letters, self.learn([" " + u for u in letters]).values()))
         known.update((u, i) for u, i in fresh.items() if len(u) <= LONGEST_KEPT)

@@ -37,7 +37,7 @@ class PieceCounter:
     def learn(self, pieces) -> None:
         if len(self.known) > UNITS_KEPT:
             self.known.clear()
-        new = set(pieces) - self.known.keys()
+        new = [p for p in set(pieces) if p not in self.known]
         self.known.update((p, len(i)) for p, i in self.coder.learn(new).items())
         self.long += [p for p in new if len(p) > LONGEST_KEPT]
 

@@ -71,7 +71,7 @@ class Shingler:
         known = self.known
         if len(known) > self.KEPT:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in [w for w in set(words) if w not in known]:
             known[w] = xxhash.xxh64_intdigest(w, seed=1)
         h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         size = min(self.words, len(words))
