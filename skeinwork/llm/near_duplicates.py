@@ -8,14 +8,15 @@ Signatures are cut into bands; documents that agree in a band share a bucket.
 Documents with equal sets are one node. Within a bucket, only links to one leader
 are tried at first; links are confirmed on the full sets. Buckets whose nodes then
 already hang together are done. In the others, all pairs across components are
-compared by their signatures, in blocks, and those that may be similar enough are
-confirmed: first the best partner of each node, then, where that did not join the
-components, all the rest. So no pair that shares a bucket goes unexamined, and a
-group of thousands of copies costs one comparison a document, not one a pair.
+compared in blocks: by signature first, then, if they may be similar enough and
+their components have not been joined meanwhile, on the full sets; a pair that shares
+several buckets is compared in the first. Only links that join components leave a
+block. So no pair that shares a bucket goes unexamined, and no step makes more rows
+than nodes and buckets.
 
 The bands are the widest at which a pair at the limit shares no bucket with a
-probability below 1e-8: 42 of 6 coordinates for 0.85. The comparison by signature passes over a pair at the limit with
-probability below 1e-6.
+probability below 1e-6 (30 of 6 coordinates for 0.85); the comparison by signature
+passes over a pair at the limit with probability below 1e-6, too.
 
 Defined results: a text with fewer words than a shingle but at least one has one
 shingle, the whole sequence; null and wordless texts have none, and link with
@@ -38,8 +39,8 @@ from ._common import fresh, map_batches, read
 from .components import components
 
 SHINGLE_WORDS = 3
-COORDINATES = 252
-SLACK = 0.12
+COORDINATES = 180
+SLACK = 0.14
 BLOCK_ROWS = 512
 #: Links join sets of which 100 * intersection >= LIMIT * union.
 LIMIT = 85
@@ -99,8 +100,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def rows_in_band(limit: int) -> int:
     """The most coordinates in a band at which a pair at the limit is missed with a
-    probability below 1e-8."""
-    return max(r for r in range(1, 13) if r == 1 or (1 - (limit / 100) ** r) ** (COORDINATES // r) < 1e-8)
+    probability below 1e-6."""
+    return max(r for r in range(1, 13) if r == 1 or (1 - (limit / 100) ** r) ** (COORDINATES // r) < 1e-6)
 
 
 _BAND_SALT = _mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64))
@@ -191,55 +192,68 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _across(open_members: DataFrame, least: float) -> DataFrame:
-    """Pairs of one bucket but different components whose signatures agree in at
-    least that share: ``a``, ``b``, ``ca``, ``cb``, ``agree``."""
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+def _across(open_members: DataFrame, limit: int, words: int) -> DataFrame:
+    """Links ``a``, ``b`` that join different components of a bucket."""
     dealt = (
-        open_members.withColumn("blocks", blocks)
-        .withColumn("own", own)
+        open_members.withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "bits")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "bits", "bands", "text")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("a", "b", "ca", "cb")), T.StructField("agree", T.DoubleType())])
-
-    def compare(group: pd.DataFrame) -> list[pd.DataFrame]:
-        i, j = group["i"].iat[0], group["j"].iat[0]
-        left = group[group["own"] == i]
-        right = group[group["own"] == j] if i != j else left
-        if not len(left) or not len(right):
-            return []
-        sides = [(np.frombuffer(b"".join(s["bits"]), dtype=np.uint8).reshape(len(s), -1), s["node"].to_numpy(), s["component"].to_numpy()) for s in (left, right)]
-        (bits_l, node_l, comp_l), (bits_r, node_r, comp_r) = sides
-        out = []
-        for k in range(len(node_l)):
-            agree = (bits_r == bits_l[k]).mean(axis=1)
-            hit = (agree >= least) & (comp_r != comp_l[k])
-            if i == j:
-                hit[: k + 1] = False
-            if hit.any():
-                out.append(pd.DataFrame({"a": node_l[k], "b": node_r[hit], "ca": comp_l[k], "cb": comp_r[hit], "agree": agree[hit]}))
-        return out
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    least = limit / 100 - SLACK
+
+    def compare(group: pd.DataFrame, shingle: Shingler) -> list[tuple[int, int]]:
+        i, j, key = group["i"].iat[0], group["j"].iat[0], group["key"].iat[0]
+        nodes, texts = group["node"].tolist(), group["text"].tolist()
+        own = group["own"].to_numpy()
+        bits = np.frombuffer(b"".join(group["bits"]), dtype=np.uint8).reshape(len(group), -1)
+        bands = np.stack(group["bands"].tolist())
+        joined = {c: c for c in group["component"].tolist()}  # components, as far as they have met
+        component = group["component"].tolist()
+        sets: dict[int, np.ndarray] = {}
+
+        def root(c):
+            while joined[c] != c:
+                joined[c] = c = joined[joined[c]]
+            return c
+
+        def set_of(k):
+            if k not in sets:
+                sets[k] = shingle(texts[k])
+            return sets[k]
+
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        band = int((bands[0] == key).argmax())
+        links = []
+        for place, k in enumerate(left.tolist()):
+            others = right if i != j else left[place + 1 :]
+            agree = (bits[others] == bits[k]).mean(axis=1)
+            hits = others[agree >= least]
+            # The first bucket that both are in has the pair.
+            hits = hits[(bands[hits] == bands[k]).argmax(axis=1) == band] if len(hits) else hits
+            for x in hits[np.argsort(-agree[np.searchsorted(others, hits)], kind="stable")].tolist():
+                mine, its = root(component[k]), root(component[x])
+                if mine != its and similar(set_of(k), set_of(x), limit):
+                    joined[mine] = its
+                    links.append((min(nodes[k], nodes[x]), max(nodes[k], nodes[x])))
+        return links
 
     def run(batches):
-        rest = None
+        shingle, rest = Shingler(words), None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            cut = (pdf[["key", "i", "j"]] != pdf[["key", "i", "j"]].shift()).any(axis=1).to_numpy().nonzero()[0]
-            for lo, hi in zip(cut, cut[1:]):
-                yield from compare(pdf.iloc[lo:hi])
+            where = pdf[["key", "i", "j"]]
+            cut = (where != where.shift()).any(axis=1).to_numpy().nonzero()[0]
+            links = [x for lo, hi in zip(cut, cut[1:]) for x in compare(pdf.iloc[lo:hi], shingle)]
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
             rest = pdf.iloc[cut[-1] :] if len(cut) else None
         if rest is not None and len(rest):
-            yield from compare(rest)
+            yield pd.DataFrame(compare(rest, shingle), columns=["a", "b"], dtype="int64")
 
-    pairs = dealt.mapInPandas(run, schema)
-    swap = F.col("a") > F.col("b")
-    return pairs.select(
-        *_ordered("a", "b"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("cb"), "agree"
-    ).distinct()
+    return dealt.mapInPandas(run, schema).distinct()
 
 
 def link(df: DataFrame, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -269,24 +283,13 @@ def link(df: DataFrame, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col:
     labels = components(links)
 
     # Buckets that do not hang together yet; in those of two all pairs have been tried.
-    for best_only in (True, False):
-        labelled = _labelled(members.filter("size > 2").select("key", "node", "size"), labels)
-        open_keys = durable(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key"))
-        if open_keys.isEmpty():
-            break
-        open_nodes = labelled.join(open_keys, "key").join(nodes.select("node", "bits"), "node")
-        pairs = durable(_across(open_nodes, limit / 100 - SLACK))
-        if best_only:
-            pairs = durable(
-                pairs.select(F.col("a").alias("x"), F.col("cb").alias("c"), F.struct("agree", "a", "b").alias("p"))
-                .unionByName(pairs.select(F.col("b").alias("x"), F.col("ca").alias("c"), F.struct("agree", "a", "b").alias("p")))
-                .groupBy("x", "c")
-                .agg(F.max("p").alias("p"))
-                .select("p.a", "p.b")
-                .distinct()
-            )
-        links = durable(links.unionByName(_confirm(pairs.select("a", "b"), texts, limit, words)))
-        labels = components(links)
+    labelled = _labelled(members.filter("size > 2").select("key", "node", "size"), labels)
+    open_keys = durable(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key"))
+    if not open_keys.isEmpty():
+        open_nodes = labelled.join(open_keys, "key").join(nodes.select("node", "bits", "bands"), "node").join(texts, "node")
+        found = durable(_across(open_nodes, limit, words))
+        if not found.isEmpty():
+            labels = components(links.unionByName(found))
 
     named = _labelled(nodes.select("node", "low", "rep"), labels)
     ends = durable(named.groupBy("component").agg(F.min("low").alias("low"), F.min("rep").alias("rep")))
