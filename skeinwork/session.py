@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,3 +30,13 @@ def durable(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the shuffle and checkpoint files that nothing refers to any more.
+
+    Spark removes them when the driver collects its garbage, which may be long after
+    a step has ended. Between the large steps of an operator this keeps disks free.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
