@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: A word is a run of anything but space, tab, newline, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that a Python worker turns into objects at a time. Bounds memory only.
+SLICE_ROWS = 1000
 
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
@@ -39,10 +41,10 @@ def map_batches(df: DataFrame, schema: T.StructType, make: Callable[[], Callable
             if not batch.num_rows:
                 continue
             work = work or make()
-            out = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[n], type=arrow.field(n).type) for n in names], names=names
-            )
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(lo, SLICE_ROWS)
+                out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], names=names)
 
     return df.mapInArrow(run, schema)
 

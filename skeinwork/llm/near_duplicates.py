@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import durable
+from ..session import durable, release
 from ._common import fresh, map_batches, read
 from .components import components
 
@@ -274,13 +274,16 @@ def link(df: DataFrame, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col:
         filed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("node").bitwiseXOR(turn)).alias("least")).filter("size > 1").select("key", "size", F.col("least").bitwiseXOR(turn).alias("leader"))
     )
     members = durable(filed.join(buckets, "key").select("key", "node", "size", "leader"))
+    release(df.sparkSession)
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("rep.row").alias("row")), "node")
     rows = df.select(F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     texts = durable(wanted.join(rows, "row").groupBy("node").agg(F.first("text").alias("text")))
+    release(df.sparkSession)
 
     first = members.filter("node != leader").select(*_ordered("node", "leader")).distinct()
     links = durable(_confirm(first, texts, limit, words))
     labels = components(links)
+    release(df.sparkSession)
 
     # Buckets that do not hang together yet; in those of two all pairs have been tried.
     labelled = _labelled(members.filter("size > 2").select("key", "node", "size"), labels)
@@ -294,6 +297,8 @@ def link(df: DataFrame, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col:
     named = _labelled(nodes.select("node", "low", "rep"), labels)
     ends = durable(named.groupBy("component").agg(F.min("low").alias("low"), F.min("rep").alias("rep")))
     placed = durable(named.select("node", "component").join(ends, "component"))
+    del filed, buckets, members, wanted, rows, texts, first, links, labels, labelled, open_keys, nodes, named, ends
+    release(df.sparkSession)
     return signed.select("id", "row", "n", "node"), placed
 
 
