@@ -11,7 +11,7 @@ from .secrets import op1_secret_scans
 from .sharding import op3_sharding
 from .spans import op2_substring_dedup
 from .topk import OP10_SQL, op10_exact_top_k
-from .urls import op4_url_filters
+from .urls import OP4_SQL, op4_url_filters
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
@@ -27,5 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_filters": OP4_SQL,
     "op10_exact_top_k": OP10_SQL,
 }

@@ -158,3 +158,36 @@ def op4_url_filters(spark, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return judge_urls(read(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _prior_sql(level: str) -> str:
+    """A row with ``k``, the weight of the prior at one level."""
+    return f"""(SELECT CASE WHEN g < 2 OR n <= g THEN 10.0 WHEN alike > 0 THEN least(1e6, greatest(1.0, 1 / alike - 1)) ELSE 1e6 END AS k FROM (
+      SELECT *, (between_ - within_) / (between_ + (size - 1) * within_) AS alike FROM (
+        SELECT g, n, greatest(0, npp - n * (bad / n) * (bad / n)) / (g - 1) AS between_, greatest(1e-12, bad - npp) / (n - g) AS within_, (n - nn / n) / (g - 1) AS size
+        FROM (SELECT count(*)::DOUBLE AS g, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, sum(n * n)::DOUBLE AS nn, sum(n * (bad / n) * (bad / n))::DOUBLE AS npp FROM {level} WHERE n > 0))))"""
+
+
+_TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+_FITS = [
+    (r, f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))") for r in sorted(RULES, key=lambda r: -len(r.name))
+]
+OP4_SQL = f"""
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+known AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+counted AS (SELECT host, string_split(host, '.') AS parts, count(k.bad)::DOUBLE AS n, coalesce(sum(k.bad), 0)::DOUBLE AS bad FROM parsed LEFT JOIN known k ON page_id = doc_id GROUP BY 1),
+hosts AS (
+  SELECT host, n, bad, array_to_string(parts[-w - 1 :], '.') AS domain, array_to_string(parts[-w :], '.') AS suffix
+  FROM (SELECT *, CASE WHEN array_to_string(parts[-2 :], '.') IN ({_TWO}) THEN 2 ELSE 1 END AS w FROM counted)
+),
+domains AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, max(suffix) AS suffix FROM hosts GROUP BY 1),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1),
+top AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS p FROM suffixes),
+above AS (SELECT suffix, (bad + k * p) / (n + k) AS towards FROM suffixes, top, {_prior_sql("suffixes")}),
+middle AS (SELECT domain, (bad + k * towards) / (n + k) AS towards FROM domains JOIN above USING (suffix), {_prior_sql("domains")}),
+posterior AS (SELECT host, bad + k * towards AS a, n - bad + k * (1 - towards) AS b FROM hosts JOIN middle USING (domain), {_prior_sql("hosts")}),
+bounds AS (SELECT host, a / (a + b) - {CERTAINTY} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM posterior),
+ruled AS (SELECT *, CASE {" ".join(f"WHEN {fits} THEN '{r.name}'" for r, fits in _FITS)} END AS rule, CASE {" ".join(f"WHEN {fits} THEN '{r.verdict}'" for r, fits in _FITS)} END AS said FROM parsed)
+SELECT page_id, ruled.host AS host, path, rule, coalesce(said, CASE WHEN low > {MOST_BAD} THEN 'block' ELSE 'allow' END) AS verdict FROM ruled JOIN bounds ON ruled.host = bounds.host
+"""
