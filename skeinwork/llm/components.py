@@ -17,7 +17,8 @@ from ..session import durable
 def components(edges: DataFrame) -> DataFrame:
     """From ``a``, ``b`` (longs): ``node`` and ``component``, the least node of its
     component, for every node of an edge."""
-    both = durable(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    ends = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = durable(edges.select(F.explode(ends).alias("e")).select("e.u", "e.v"))
     labels = durable(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("component")))
     while True:
         heard = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("heard"))
