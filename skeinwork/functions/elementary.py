@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import fail
-from ..types import BINARY, BOOL, DATE, DATETIME, DOUBLE, ENUM, FLOAT, FLOATS, INT32, INT64, INTEGERS, NUMERIC, STRING, UINT32, UINT64, DataType, cast, common_type
+from ..types import BINARY, BOOL, DATE, DATETIME, DOUBLE, FLOAT, FLOATS, INT32, INT64, INTEGERS, NUMERIC, STRING, UINT32, UINT64, DataType, cast, common_type
 from .core import Bound, Expr, binary, single, unary, want
 
 # casts and parsing ---------------------------------------------------------
