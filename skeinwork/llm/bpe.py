@@ -30,7 +30,7 @@ from ._common import map_batches, read
 
 #: Distinct space-parted units a worker keeps with their ids; beyond it, it starts
 #: anew. Bounds memory only.
-UNITS_KEPT = 600_000
+UNITS_KEPT = 300_000
 #: Longer units are encoded but not kept.
 LONGEST_KEPT = 64
 

@@ -58,7 +58,7 @@ def _mix64(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of texts; keeps hashes of words it has seen."""
 
-    KEPT = 500_000
+    KEPT = 200_000
 
     def __init__(self, words: int = SHINGLE_WORDS):
         self.words = words
