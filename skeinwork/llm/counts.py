@@ -135,10 +135,12 @@ class CountedText:
             break
         tail = (old[step:], old_counts[step:]) if step is not None else ([], [])
         self.reencoded += len(fresh)
-        self._set(first, old[:keep] + fresh + tail[0], old_counts[:keep] + self.counter.of(fresh) + tail[1])
-        for k in range(first + 1, last + 1):
-            if self.leaves[k][0]:
-                self._set(k, [], [])
+        pieces, counts = old[:keep] + fresh + tail[0], old_counts[:keep] + self.counter.of(fresh) + tail[1]
+        # Spread over the leaves that were read, so that none grows with many edits.
+        each = -(-len(pieces) // (last - first + 1))
+        for k in range(first, last + 1):
+            lo = (k - first) * each
+            self._set(k, pieces[lo : lo + each], counts[lo : lo + each])
 
     def apply(self, edits: list[tuple[int, int, str]]) -> None:
         """Edits in the coordinates of the text before the first of them."""
