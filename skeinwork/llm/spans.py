@@ -1,7 +1,8 @@
 """Substring dedup with sliding sentence spans.
 
-From every sentence on, the shortest run of at least two sentences and twenty words
-is a span, known by its hash. Spans that occur more than once in the whole table
+From every sentence on, and up to every sentence, the shortest run of at least two
+sentences and twenty words is a span, known by its hash. Together they cover every
+sentence of any longer run that repeats. Spans that occur more than once in the whole table
 are found by counting hashes; joining them back tells every occurrence whether it
 is the first (by id, then position). A sentence covered by any occurrence that is
 not the first of its span is removed.
@@ -62,14 +63,21 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     words = [text[s:e].split() for s, e in sentences(text)]
     hashes = array("Q", [xxhash.xxh64_intdigest(" ".join(w)) for w in words]).tobytes()
     n = [len(w) for w in words]
+    runs = dict.fromkeys(_shortest(n))
+    runs.update(dict.fromkeys((len(n) - j, len(n) - i) for i, j in _shortest(n[::-1])))
+    return [(i, j, xxhash.xxh64_intdigest(hashes[8 * i : 8 * j]) - (1 << 63)) for i, j in runs]
+
+
+def _shortest(n: list[int]) -> list[tuple[int, int]]:
+    """The shortest run from each sentence on, given the sentences' words."""
     out, j, have = [], 0, 0
-    for i in range(len(words)):
-        while j < len(words) and (have < WORDS or j - i < SENTENCES):
+    for i in range(len(n)):
+        while j < len(n) and (have < WORDS or j - i < SENTENCES):
             have += n[j]
             j += 1
         if have < WORDS or j - i < SENTENCES:
             break
-        out.append((i, j, xxhash.xxh64_intdigest(hashes[8 * i : 8 * j]) - (1 << 63)))
+        out.append((i, j))
         have -= n[i]
     return out
 

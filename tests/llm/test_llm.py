@@ -143,6 +143,36 @@ def test_substring_dedup_against_brute_force(docs, corpus):
         assert r["n_removed"] == len(gone[r["doc_id"]]), r["doc_id"]
 
 
+def test_substring_dedup_removes_every_repeated_run(spark):
+    """Against all runs, not only the shortest ones."""
+    r = random.Random(8)
+    made = lambda k: " ".join("".join(r.choices("aeioutnsr", k=7)) for _ in range(k)).capitalize() + "."
+    closing = " ".join(map(made, (25, 20, 8, 6, 5)))
+    rows = [(d, " ".join([made(9), closing, made(30)])) for d in range(3)]
+    for d in range(3, 40):
+        parts = [made(r.randint(1, 14)) for _ in range(r.randint(2, 12))]
+        text = rows[r.randrange(len(rows))][1]
+        lo, hi = sorted(r.choices(range(len(spans.sentences(text)) + 1), k=2))
+        parts[1:1] = [text[s:e].strip() for s, e in spans.sentences(text)[lo:hi]]
+        rows.append((d, " ".join(parts)))
+    places = defaultdict(list)
+    for d, text in rows:
+        words = [tuple(text[s:e].split()) for s, e in spans.sentences(text)]
+        for i in range(len(words)):
+            for j in range(i + spans.SENTENCES, len(words) + 1):
+                if sum(map(len, words[i:j])) >= spans.WORDS:
+                    places[tuple(words[i:j])].append((d, i, j))
+    gone = defaultdict(set)
+    for found in places.values():
+        for d, i, j in sorted(found)[1:]:
+            gone[d].update(range(i, j))
+    out = {x["doc_id"]: x for x in spans.dedup_spans(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert closing in out[0]["text"] and out[1]["n_removed"] == 5 and closing[-20:] not in out[1]["text"]
+    for d, text in rows:
+        kept = [text[s:e] for k, (s, e) in enumerate(spans.sentences(text)) if k not in gone[d]]
+        assert out[d]["text"] == "".join(kept), d
+
+
 def test_long_stretches_are_cut_where_their_words_say():
     words = [f"w{i}" for i in range(200)]
     whole, shifted = " ".join(words), "some other start " + " ".join(words)
