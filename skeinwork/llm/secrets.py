@@ -46,15 +46,19 @@ class Rule:
     min_group: int = 0
 
 
+_PEM = "-----{} (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"
+
 #: The base kinds, in the order in which ties are listed, then the added ones.
 RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", min_group=6),
     Rule("access", r"AKIA[A-Z0-9]+", min_bytes=20),
     Rule("hex", r"[0-9a-f]{24,}", min_bytes=24),
-    Rule("pem", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"),
+    Rule("pem", _PEM.format("BEGIN")),  # also of a block that is cut off
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", min_bytes=40),
     Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]+", min_bytes=20),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", min_bytes=40),
+    # The whole key; up to four hyphens for headers such as DEK-Info, the backslash for escaped line ends.
+    Rule("pem_block", rf"{_PEM.format('BEGIN')}(?:-{{0,4}}[A-Za-z0-9+/=:,\\\x20\x09-\x0D])+{_PEM.format('END')}"),
 )
 BASE_KINDS = ("assign", "access", "hex")
 

@@ -98,6 +98,19 @@ def test_secret_rules_that_need_a_second_pass_are_refused():
         secrets.compile_rules((secrets.Rule("x", "ab(?:cd)?"),))
 
 
+def test_whole_private_keys_are_redacted(spark):
+    key = "MIIEvQIBADANBgkqhkiG9w0BAQEFAASC\n" * 4 + "BKcwggSjAgEA+/==\n"
+    pem = lambda kind, body: f"-----BEGIN {kind}PRIVATE KEY-----\n{body}-----END {kind}PRIVATE KEY-----"
+    blocks = [pem("", key), pem("RSA ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n" + key), pem("EC ", key.replace("\n", "\r\n")), pem("", key).replace("\n", "\\n")]
+    rows = [(k, f"before {b} after") for k, b in enumerate(blocks)] + [(9, blocks[0] + blocks[1]), (10, blocks[0][:60] + " - - - " + blocks[2])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df).collect()}
+    assert [out[k] for k in range(len(blocks))] == ["before [pem] after"] * len(blocks)
+    assert out[9] == "[pem][pem]" and out[10].endswith("[pem]") and "BKcwgg" not in out[10]
+    scanner = secrets.Scanner(secrets.compile_rules())
+    assert all(scanner.spans(t.encode()) == brute_secrets(t) for _, t in rows)
+
+
 def test_secrets_of_documents(docs, empty, corpus):
     found = {r["doc_id"]: [tuple(s) for s in r["found"]] for r in secrets.scan_secrets(docs).collect()}
     assert all(found[r[0]] == brute_secrets(r[1]) for r in corpus)
