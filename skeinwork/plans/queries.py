@@ -445,6 +445,11 @@ def _scalar(spark, sf_dir):
     return op.scalar_aggregate(_events(spark, sf_dir).filter("user_id < 0"), op.AggregationSpecification().add(op.COUNT, "", "n").add(op.SUM, "user_id", "s").add(op.MAX, "event_type", "m"))
 
 
+@query("op_scalar_aggregate_all", "SELECT count(*) AS n, sum(user_id)::BIGINT AS s, max(event_type) AS m FROM events")
+def _scalar_all(spark, sf_dir):
+    return op.scalar_aggregate(_events(spark, sf_dir), op.AggregationSpecification().add(op.COUNT, "", "n").add(op.SUM, "user_id", "s").add(op.MAX, "event_type", "m"))
+
+
 @query("op_distinct", "SELECT DISTINCT event_type, user_id FROM events")
 def _distinct(spark, sf_dir):
     return op.group_aggregate(_events(spark, sf_dir), ["event_type", "user_id"], op.AggregationSpecification())

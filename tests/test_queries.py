@@ -43,6 +43,11 @@ def test_query_equals_sql(spark, duck, name):
     assert mine == rows(tuple(same(r[names.index(c)]) for c in columns) for r in cursor.fetchall())
 
 
+def test_a_scalar_aggregate_reads_the_whole_table(spark):
+    (r,) = queries.QUERIES["op_scalar_aggregate_all"](spark, SF).collect()
+    assert r["n"] == spark.read.parquet(f"{SF}/events.parquet").count() > 0
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
