@@ -1,33 +1,37 @@
 """Substring dedup with sliding sentence spans.
 
-From every sentence on, and up to every sentence, the shortest run of at least two
-sentences and twenty words is a span, known by its hash. Together they cover every
-sentence of any longer run that repeats. Spans that occur more than once in the whole table
-are found by counting hashes; joining them back tells every occurrence whether it
-is the first (by id, then position). A sentence covered by any occurrence that is
-not the first of its span is removed.
-
-Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends. Longer
-stretches without such ends are cut after words chosen by a hash of the word, so
-that cuts agree wherever the same words stand. White space does not count.
+A span is a run of words with at least twenty words and two sentences, known by its
+hash. It starts where a sentence does, or at a word that twenty more words of its
+sentence follow (itself included), and ends likewise; forty words without an end
+between them count as two sentences. So what is a span depends on its own words only.
+Hashed are the shortest span from every start on and up to every end; together they
+cover every word of any longer run that repeats, up to its true ends. Spans that occur
+more than once in the whole table are found by counting hashes; joining them back
+tells every occurrence whether it is the first (by id, then position). A word covered
+by any occurrence that is not the first of its span is removed.
+
+Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends. White
+space does not count. ``n_sentences`` and ``n_removed`` count sentences, and ones
+that are gone whole; for them, longer stretches are cut after words chosen by a hash.
 
 Defined results: a null text has no sentences and stays null; empty stays empty;
 null ids come last in the order; rows that agree in id and text are one document
-and keep or lose the same sentences; further columns are not read.
+and keep or lose the same words; further columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import durable
-from ._common import map_batches, read
+from ._common import SLICE_ROWS, map_batches, read
 
 SENTENCES = 2
 WORDS = 20
@@ -58,45 +62,76 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str) -> list[tuple[int, int, int]]:
-    """(first sentence, last sentence + 1, hash) of each span."""
-    words = [text[s:e].split() for s, e in sentences(text)]
-    hashes = array("Q", [xxhash.xxh64_intdigest(" ".join(w)) for w in words]).tobytes()
-    n = [len(w) for w in words]
-    runs = dict.fromkeys(_shortest(n))
-    runs.update(dict.fromkeys((len(n) - j, len(n) - i) for i, j in _shortest(n[::-1])))
-    return [(i, j, xxhash.xxh64_intdigest(hashes[8 * i : 8 * j]) - (1 << 63)) for i, j in runs]
-
-
-def _shortest(n: list[int]) -> list[tuple[int, int]]:
-    """The shortest run from each sentence on, given the sentences' words."""
-    out, j, have = [], 0, 0
-    for i in range(len(n)):
-        while j < len(n) and (have < WORDS or j - i < SENTENCES):
-            have += n[j]
-            j += 1
-        if have < WORDS or j - i < SENTENCES:
-            break
-        out.append((i, j))
-        have -= n[i]
-    return out
+_BASE, _INNER_END, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, last words + 1 and hashes of the spans."""
+    words = text.split()
+    cuts = [0, *(m.end() for m in _ends.finditer(text)), len(text)]
+    n = np.array([k for s, e in zip(cuts, cuts[1:]) if (k := len(text[s:e].split()))], dtype=np.int64)
+    if len(words) < WORDS:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    stop = np.cumsum(n)
+    start = stop - n
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(words))
+    # From every start on.
+    p = at[(stop[of] - at >= WORDS) | (at == start[of])]
+    first_end = start + np.minimum(n, WORDS)
+    m = np.maximum(of[p] + SENTENCES - 1, np.searchsorted(first_end, p + WORDS))
+    inside = stop[of[p]] - p >= SENTENCES * WORDS
+    ok = inside | (m < len(n))
+    q = np.where(inside, p + SENTENCES * WORDS, first_end[np.minimum(m, len(n) - 1)])
+    runs = p[ok] * (len(words) + 1) + q[ok]
+    # Up to every end.
+    q = at[(at + 1 - start[of] >= WORDS) | (at + 1 == stop[of])] + 1
+    last_start = stop - np.minimum(n, WORDS)
+    m = np.minimum(of[q - 1] - SENTENCES + 1, np.searchsorted(last_start, q - WORDS, side="right") - 1)
+    inside = q - start[of[q - 1]] >= SENTENCES * WORDS
+    ok = inside | (m >= 0)
+    p = np.where(inside, q - SENTENCES * WORDS, last_start[np.maximum(m, 0)])
+    runs = np.unique(np.concatenate([runs, p[ok] * (len(words) + 1) + q[ok]]))
+    p, q = runs // (len(words) + 1), runs % (len(words) + 1)
+    # Polynomials in the words' hashes, modulo 2**64, of the words and the ends between them.
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    power = _powers(_BASE, len(words))
+    ended = hashes.copy()
+    ended[stop - 1] ^= _INNER_END
+    before = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(ended * power, dtype=np.uint64)])
+    key = (before[q - 1] - before[p] + hashes[q - 1] * power[q - 1]) * _powers(_INVERSE, len(words))[p]
+    key = (key ^ (key >> np.uint64(33)) ^ (q - p).astype(np.uint64)) * _MIX
+    return p, q, (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """``span``, ``none`` (no id), ``id``, ``row``, ``i``, ``j`` of every span."""
-    schema = T.StructType([T.StructField("found", T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("span", T.LongType())]))), docs.schema["id"], docs.schema["row"]])
-
-    def make():
-        def work(cols):
-            return {"id": cols["id"], "row": cols["row"], "found": [[dict(zip(("i", "j", "span"), s)) for s in spans(t)] if t else [] for t in cols["text"]]}
+    schema = T.StructType([docs.schema["id"], docs.schema["row"], T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("span", T.LongType())])
 
-        return work
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(lo, SLICE_ROWS)
+                found = [spans(t or "") for t in part.column("text").to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                i, j, span = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(of), part.column("row").take(of), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(span)], names=schema.names
+                )
 
-    return map_batches(docs.select("id", "row", "text"), schema, make).select("id", "row", F.explode("found").alias("f")).select("f.span", F.col("id").isNull().alias("none"), "id", "row", "f.i", "f.j")
+    return docs.select("id", "row", "text").mapInArrow(run, schema).select("span", F.col("id").isNull().alias("none"), "id", "row", "i", "j")
 
 
 def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, ``text`` without repeated sentences, ``n_sentences``, ``n_removed`` and
+    """Id, ``text`` without repeated words, ``n_sentences``, ``n_removed`` and
     ``removed`` (start and end in code points) of every row."""
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     found = _occurrences(docs)
@@ -120,16 +155,22 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         if not text:
             return text, 0, 0, []
         all_ = sentences(text)
-        gone = bytearray(len(all_))
-        for c in covered or ():
+        if not covered:
+            return text, len(all_), 0, []
+        starts = [m.start() for m in _word.finditer(text)]
+        gone = bytearray(len(starts))
+        for c in covered:
             gone[c["i"] : c["j"]] = b"\1" * (c["j"] - c["i"])
+        starts[0] = 0
         removed: list[dict] = []
-        for (s, e), g in zip(all_, gone):
+        for s, e, g in zip(starts, [*starts[1:], len(text)], gone):
             if g and removed and removed[-1]["end"] == s:
                 removed[-1]["end"] = e
             elif g:
                 removed.append({"start": s, "end": e})
-        return "".join([text[s:e] for (s, e), g in zip(all_, gone) if not g]), len(all_), sum(gone), removed
+        kept = [0, *(x for r in removed for x in (r["start"], r["end"])), len(text)]
+        n = sum(any(r["start"] <= s and e <= r["end"] for r in removed) for s, e in all_)
+        return "".join([text[s:e] for s, e in zip(kept[::2], kept[1::2])]), len(all_), n, removed
 
     def make():
         def work(cols):

@@ -186,6 +186,21 @@ def test_substring_dedup_removes_every_repeated_run(spark):
         assert out[d]["text"] == "".join(kept), d
 
 
+def test_substring_dedup_removes_passages_to_their_ends(spark):
+    """Passages in text without end marks, and sentences pasted behind some words."""
+    r = random.Random(5)
+    made = lambda n: " ".join("".join(r.choices("aeioutnsr", k=8)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(150):
+        passage = made(40 + k % 30) if k % 3 else f"{made(27)}. {made(27)}."
+        first = f"{made(5)}. {passage} {made(12)}"
+        before, after = made(1 + k % 25), made(30)
+        rows += [(2 * k, first), (2 * k + 1, f"{before} {passage} {after}")]
+        want |= {2 * k: first, 2 * k + 1: f"{before} {after}"}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {x["doc_id"]: x["text"] for x in spans.dedup_spans(df).collect()} == want
+
+
 def test_long_stretches_are_cut_where_their_words_say():
     words = [f"w{i}" for i in range(200)]
     whole, shifted = " ".join(words), "some other start " + " ".join(words)
