@@ -1,24 +1,28 @@
-"""Session helpers: where durable intermediate results go."""
+"""Session helpers: where durable intermediate results go, and how they leave."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints.
+    """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that setting is
-    missing (single-machine tests) is a temporary folder used.
+    A cluster names it in ``spark.checkpoint.dir``. Only a single machine may leave
+    that setting out and gets a temporary folder; anywhere else executors would each
+    write to a disk of their own, so a missing setting is an error.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skeinwork-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -26,17 +30,71 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Compute ``df`` now, keep it on shared storage and cut its lineage.
 
-    Lost executors lose nothing of the result: readers go to the shared folder.
+    Lost executors lose nothing of the result: readers go to the shared folder. Spark
+    removes the files once the driver no longer refers to the result.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Drop the shuffle and checkpoint files that nothing refers to any more.
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing_shuffles(spark: SparkSession):
+    """Within it, each job's shuffle files go when the job has ended."""
+    before = spark.conf.get(_FREE_SHUFFLES)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
 
-    Spark removes them when the driver collects its garbage, which may be long after
-    a step has ended. Between the large steps of an operator this keeps disks free.
+class Scratch:
+    """The tables of an operator's steps: Parquet in the shared folder.
+
+    Lost executors lose none of them, readers take only the columns they need, and
+    plans know their sizes. Tables are dropped by hand as soon as no later step reads
+    them; when the block ends all go but those that ``returned`` was told of, which
+    the caller's result still reads.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.needed: set[int] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        with freeing_shuffles(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            delete(self.spark, self.paths.pop(id(t))[1])
+
+    def returned(self, *tables: DataFrame) -> None:
+        self.needed.update(map(id, tables))
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, failed, *_) -> None:
+        for key, (_, path) in list(self.paths.items()):
+            if failed or key not in self.needed:
+                delete(self.spark, path)
+                del self.paths[key]
+        if not self.paths:
+            delete(self.spark, self.folder)
