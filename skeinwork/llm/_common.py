@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A word is a run of anything but space, tab, newline, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that a Python worker turns into objects at a time. Bounds memory only.
+#: Rows, and bytes of an Arrow batch, that a Python worker turns into objects at a
+#: time. Bounds memory only: a single longer row is a slice of its own.
 SLICE_ROWS = 1000
+SLICE_BYTES = 4 << 20
 
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +28,25 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each value of a string or binary column, else its mean share."""
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+        return pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.full(len(column), column.nbytes // max(1, len(column)), dtype=np.int64)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE_ROWS rows and, but for single rows, of
+    about SLICE_BYTES bytes."""
+    upto = np.cumsum(sum((_sizes(c) for c in batch.columns), np.zeros(batch.num_rows, dtype=np.int64)))
+    lo = 0
+    while lo < batch.num_rows:
+        full = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE_BYTES, side="right"))
+        hi = min(lo + SLICE_ROWS, max(full, lo + 1), batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def map_batches(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """Run a per-batch function over Arrow batches.
 
@@ -41,8 +64,7 @@ def map_batches(df: DataFrame, schema: T.StructType, make: Callable[[], Callable
             if not batch.num_rows:
                 continue
             work = work or make()
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(lo, SLICE_ROWS)
+            for part in slices(batch):
                 out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], names=names)
 
@@ -60,3 +82,27 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         have.add(name.lower())
         out.append(name)
     return out
+
+
+# --------------------------------------------------------------------------
+# look-ups by keys of which a few may be very frequent
+
+#: Keys that hold more than this share of the rows (and more than LIGHT rows) are heavy.
+MOST_HEAVY = 4096
+LIGHT = 64
+
+
+def heavy_keys(rows: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """The keys that hold more than 1 / MOST_HEAVY of ``n_rows`` rows. There are at
+    most about MOST_HEAVY of them, whatever the data, so they may be broadcast."""
+    return rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(LIGHT, n_rows // MOST_HEAVY)).select(key)
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Inner join with ``table``, which holds each key once. Rows of heavy keys stay
+    where they are and meet the broadcast lines of these; the others are shuffled, and
+    no key among them is large."""
+    lines = table.join(F.broadcast(heavy), key, "left_semi")
+    hot = rows.join(F.broadcast(lines), key)
+    cold = rows.join(F.broadcast(heavy), key, "left_anti").join(table, key)
+    return hot.unionByName(cold)

@@ -1,9 +1,9 @@
 """Connected components of an edge table, by shared minima and shortcuts.
 
 Every round each node takes the least label among its own and its neighbours', then
-the label of its label. Tables between the steps are checkpointed, so lineage stays
-short, and every join is between two plain tables, one of them unique by the key:
-a node with very many neighbours is split like any skewed key.
+the label of its label. Tables between the steps are written, so lineage stays short.
+A node with very many neighbours, and a label that very many nodes have, is a hot key
+of these look-ups: such keys are few by their share of the rows and are broadcast.
 """
 
 from __future__ import annotations
@@ -11,20 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import Scratch
+from ._common import heavy_keys, looked_up
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """From ``a``, ``b`` (longs): ``node`` and ``component``, the least node of its
-    component, for every node of an edge."""
+    component, for every node of an edge. Repeated edges and loops change nothing; no
+    edges give no rows. The result is a table of ``scratch``."""
     ends = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
-    both = durable(edges.select(F.explode(ends).alias("e")).select("e.u", "e.v"))
-    labels = durable(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("component")))
+    both = scratch.keep(edges.select(F.explode(ends).alias("e")).select("e.u", "e.v"))
+    hubs = scratch.keep(heavy_keys(both, "v", both.count()))
+    labels = scratch.keep(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("component")))
+    n_nodes = labels.count()
     while True:
-        heard = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("heard"))
-        lower = durable(labels.join(heard, "node").select("node", F.least("component", "heard").alias("to"), "component"))
-        short = lower.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        new = durable(lower.join(short, "to").select("node", F.col("further").alias("component"), (F.col("further") != F.col("component")).alias("moved")))
-        labels = new.select("node", "component")
-        if new.filter("moved").isEmpty():
-            return labels
+        told = looked_up(both, "v", labels.select(F.col("node").alias("v"), "component"), hubs)
+        heard = told.groupBy(F.col("u").alias("node")).agg(F.min("component").alias("heard"))
+        lower = scratch.keep(labels.join(heard, "node").select("node", F.least("component", "heard").alias("to"), "component"))
+        common = scratch.keep(heavy_keys(lower, "to", n_nodes))
+        further = lower.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        new = scratch.keep(
+            looked_up(lower, "to", further, common).select("node", F.col("further").alias("component"), (F.col("further") != F.col("component")).alias("moved"))
+        )
+        scratch.drop(labels, lower, common)
+        labels = new
+        if labels.filter("moved").isEmpty():
+            scratch.drop(both, hubs)
+            return labels.select("node", "component")

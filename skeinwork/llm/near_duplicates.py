@@ -6,13 +6,16 @@ is applied once, the second again and again, each time shifted by one place.
 Signatures are cut into bands; documents that agree in a band share a bucket.
 
 Documents with equal sets are one node. Within a bucket, only links to one leader
-are tried at first; links are confirmed on the full sets. Buckets whose nodes then
-already hang together are done. In the others, all pairs across components are
-compared in blocks: by signature first, then, if they may be similar enough and
-their components have not been joined meanwhile, on the full sets; a pair that shares
-several buckets is compared in the first. Only links that join components leave a
-block. So no pair that shares a bucket goes unexamined, and no step makes more rows
-than nodes and buckets.
+are tried at first; links are confirmed on the full sets. A leader's text goes to as
+many tasks as its bucket needs. Buckets whose nodes then hang together are done. In
+the others, pairs across components are compared by signature, in blocks, and without
+their texts; each block proposes as few pairs as would join its components, and these
+are confirmed in the same way. Nodes that may still be similar to one of another
+component after that are compared on their full sets, block by block; theirs are the
+only texts that go to several blocks. So no pair that shares a bucket goes unexamined.
+
+A bucket of n nodes that do not hang together makes n * n / (2 * BLOCK_ROWS) narrow
+rows (a signature each) and n * n / 2 comparisons of signatures.
 
 The bands are the widest at which a pair at the limit shares no bucket with a
 probability below 1e-6 (30 of 6 coordinates for 0.85); the comparison by signature
@@ -21,27 +24,31 @@ passes over a pair at the limit with probability below 1e-6, too.
 Defined results: a text with fewer words than a shingle but at least one has one
 shingle, the whole sequence; null and wordless texts have none, and link with
 nothing; the component of a document is its smallest non-null id; rows that agree
-in id and text are one document; further columns are not read.
+in id and text are one document; further columns are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import durable, release
-from ._common import fresh, map_batches, read
+from ..session import Scratch
+from ._common import fresh, heavy_keys, looked_up, map_batches, read
 from .components import components
 
 SHINGLE_WORDS = 3
 COORDINATES = 180
-SLACK = 0.14
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
+#: Members of a bucket that meet one copy of their leader's text.
+LEADER_ROWS = 256
 #: Links join sets of which 100 * intersection >= LIMIT * union.
 LIMIT = 85
 
@@ -104,6 +111,15 @@ def rows_in_band(limit: int) -> int:
     return max(r for r in range(1, 13) if r == 1 or (1 - (limit / 100) ** r) ** (COORDINATES // r) < 1e-6)
 
 
+def least_agreement(limit: int) -> int:
+    """The most coordinates that a pair at the limit agrees in with a probability of
+    at least 1 - 1e-6."""
+    p, below, k = limit / 100, 0.0, 0
+    while (below := below + math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)) < 1e-6:
+        k += 1
+    return k
+
+
 _BAND_SALT = _mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 
 
@@ -162,164 +178,227 @@ def _signed(df: DataFrame, limit: int, words: int, id_col: str, text_col: str) -
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, limit: int, words: int) -> DataFrame:
-    """Those of the distinct pairs ``a``, ``b`` whose full sets are similar enough."""
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    """Links ``a``, ``b``: those of the pairs ``member``, ``leader`` whose full sets are
+    similar enough. ``size`` says how many pairs of a leader may come together."""
+    copies = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("size") / LEADER_ROWS)).cast("double"))).cast("int")
+    dealt = pairs.select("member", "leader", copies.alias("copies")).withColumn("copy", F.pmod(F.xxhash64("member"), F.col("copies")).cast("int"))
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
+    leaders = dealt.select("leader", "copies").distinct().join(side("leader"), "leader").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    full = dealt.join(side("member"), "member").join(leaders, ["leader", "copies", "copy"])
 
     def run(batches):
         shingle = Shingler(words)
         for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            links = []
-            a, b, ta, tb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "text_a", "text_b"))
-            for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
-                for node, text in ((x, ta), (y, tb)):
-                    if node not in sets:
-                        sets[node] = shingle(text[i].as_py())
-                if similar(sets[x], sets[y], limit):
-                    links.append((x, y))
+            links, sets = [], {}
+            leader, member, leader_text, member_text = batch.columns
+            for i, (x, y) in enumerate(zip(leader.to_pylist(), member.to_pylist())):
+                if x not in sets:  # they come in order
+                    sets = {x: shingle(leader_text[i].as_py())}
+                if similar(sets[x], shingle(member_text[i].as_py()), limit):
+                    links.append((min(x, y), max(x, y)))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
-
-
-def _ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    return full.select("leader", "member", "leader_text", "member_text").mapInArrow(run, "a long, b long")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _across(open_members: DataFrame, limit: int, words: int) -> DataFrame:
-    """Links ``a``, ``b`` that join different components of a bucket."""
-    dealt = (
-        open_members.withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Each row of a bucket once for every block pair ``i``, ``j`` that its block is in."""
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    return (
+        members.withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "bits", "bands", "text")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "size", "band", "node", "component", "bits")
     )
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    least = limit / 100 - SLACK
-
-    def compare(group: pd.DataFrame, shingle: Shingler) -> list[tuple[int, int]]:
-        i, j, key = group["i"].iat[0], group["j"].iat[0], group["key"].iat[0]
-        nodes, texts = group["node"].tolist(), group["text"].tolist()
-        own = group["own"].to_numpy()
-        bits = np.frombuffer(b"".join(group["bits"]), dtype=np.uint8).reshape(len(group), -1)
-        bands = np.stack(group["bands"].tolist())
-        joined = {c: c for c in group["component"].tolist()}  # components, as far as they have met
-        component = group["component"].tolist()
-        sets: dict[int, np.ndarray] = {}
-
-        def root(c):
-            while joined[c] != c:
-                joined[c] = c = joined[joined[c]]
-            return c
-
-        def set_of(k):
-            if k not in sets:
-                sets[k] = shingle(texts[k])
-            return sets[k]
-
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        band = int((bands[0] == key).argmax())
-        links = []
-        for place, k in enumerate(left.tolist()):
-            others = right if i != j else left[place + 1 :]
-            agree = (bits[others] == bits[k]).mean(axis=1)
-            hits = others[agree >= least]
-            # The first bucket that both are in has the pair.
-            hits = hits[(bands[hits] == bands[k]).argmax(axis=1) == band] if len(hits) else hits
-            for x in hits[np.argsort(-agree[np.searchsorted(others, hits)], kind="stable")].tolist():
-                mine, its = root(component[k]), root(component[x])
-                if mine != its and similar(set_of(k), set_of(x), limit):
-                    joined[mine] = its
-                    links.append((min(nodes[k], nodes[x]), max(nodes[k], nodes[x])))
-        return links
+
+
+class _Block:
+    """One pair of blocks of a bucket."""
+
+    def __init__(self, group: pd.DataFrame, limit: int):
+        self.group, self.least, self.per_band = group, least_agreement(limit), rows_in_band(limit)
+        self.band = group["band"].iat[0]
+        self.nodes, own = group["node"].to_numpy(), group["own"].to_numpy()
+        self.bits = np.frombuffer(b"".join(group["bits"]), dtype=np.uint8).reshape(len(group), -1)
+        self.component = group["component"].to_numpy()
+        self.same = group["i"].iat[0] == group["j"].iat[0]
+        self.left, self.right = np.flatnonzero(own == group["i"].iat[0]), np.flatnonzero(own == group["j"].iat[0])
+        self.joined = {c: c for c in self.component.tolist()}
+
+    def root(self, c: int) -> int:
+        while self.joined[c] != c:
+            self.joined[c] = c = self.joined[self.joined[c]]
+        return c
+
+    def candidates(self):
+        """(row, rows that may be similar to it, best first), across components. A pair
+        that shares several buckets is looked at in the first, as far as the signatures'
+        low bytes tell bands apart (a band agrees in them by chance once in 2 ** 48)."""
+        banded = COORDINATES // self.per_band * self.per_band
+        for place, k in enumerate(self.left.tolist()):
+            others = self.left[place + 1 :] if self.same else self.right
+            others = others[self.component[others] != self.component[k]]
+            if len(others):
+                agree = np.count_nonzero(self.bits[others] == self.bits[k], axis=1)
+                hits = np.flatnonzero(agree >= self.least)
+                equal = (self.bits[others[hits], :banded] == self.bits[k, :banded]).reshape(len(hits), banded // self.per_band, self.per_band)
+                hits = hits[equal.all(axis=2).argmax(axis=1) == self.band]
+                if len(hits):
+                    yield k, others[hits[np.argsort(-agree[hits], kind="stable")]].tolist()
+
+    def joining(self, test) -> list[tuple[int, int]]:
+        """(x, k) of row pairs that pass the test, as few as join what they can join."""
+        out = []
+        for k, hits in self.candidates():
+            for x in hits:
+                mine, its = self.root(self.component[k]), self.root(self.component[x])
+                if mine != its and test(k, x):
+                    self.joined[mine] = its
+                    out.append((x, k))
+        return out
+
+
+def _proposed(block: _Block, words: int, limit: int) -> pd.DataFrame:
+    """Pairs that would join the block's components if they were similar."""
+    found = [(block.nodes[x], block.nodes[k]) for x, k in block.joining(lambda k, x: True)]
+    size = int(block.group["size"].iat[0])
+    return pd.DataFrame([(x, k, size) for x, k in found], columns=["member", "leader", "size"]).astype("int64")
+
+
+def _unsettled(block: _Block, words: int, limit: int) -> pd.DataFrame:
+    """The rows that may still be similar to one of another component."""
+    open_ = {r for k, hits in block.candidates() for r in (k, *hits)}
+    return block.group.iloc[sorted(open_)][["key", "i", "j", "own", "size", "band", "node", "component", "bits"]]
+
+
+def _settled(block: _Block, words: int, limit: int) -> pd.DataFrame:
+    """Links that join components, confirmed on the full sets."""
+    shingle, texts, sets = Shingler(words), block.group["text"], {}
+
+    def set_of(k):
+        if k not in sets:
+            sets[k] = shingle(texts.iat[k])
+        return sets[k]
+
+    found = block.joining(lambda k, x: similar(set_of(k), set_of(x), limit))
+    return pd.DataFrame([sorted((block.nodes[x], block.nodes[k])) for x, k in found], columns=["a", "b"]).astype("int64")
+
+
+_PROPOSED = "member long, leader long, size long"
+_UNSETTLED = "key long, i int, j int, own int, size long, band int, node long, component long, bits binary"
+_LINKS = "a long, b long"
+
+
+def _by_block(rows: DataFrame, work, schema: str, limit: int, words: int) -> DataFrame:
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
-        shingle, rest = Shingler(words), None
+        rest = None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             where = pdf[["key", "i", "j"]]
             cut = (where != where.shift()).any(axis=1).to_numpy().nonzero()[0]
-            links = [x for lo, hi in zip(cut, cut[1:]) for x in compare(pdf.iloc[lo:hi], shingle)]
-            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+            for lo, hi in zip(cut, cut[1:]):
+                yield work(_Block(pdf.iloc[lo:hi], limit), words, limit)
             rest = pdf.iloc[cut[-1] :] if len(cut) else None
         if rest is not None and len(rest):
-            yield pd.DataFrame(compare(rest, shingle), columns=["a", "b"], dtype="int64")
+            yield work(_Block(rest, limit), words, limit)
+
+    return dealt.mapInPandas(run, schema)
+
 
-    return dealt.mapInPandas(run, schema).distinct()
+def _open(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of the buckets that do not hang together; of two nodes, all pairs have been tried."""
+    labelled = _labelled(members.filter("size > 2").select("key", "band", "node", "size"), labels)
+    keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
+    return labelled.join(keys, "key", "left_semi").join(nodes.select("node", "bits"), "node")
 
 
-def link(df: DataFrame, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def link(df: DataFrame, scratch: Scratch, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: ``id``, ``row``, ``n``, ``node``; nodes: ``node``, ``component``, ``low``, ``rep``).
 
     ``low`` is the component's smallest id, ``rep`` the (id, row) that stands for it.
+    Both are tables of ``scratch``.
     """
-    signed = durable(_signed(df, limit, words, id_col, text_col))
-    nodes = durable(
+    signed = scratch.keep(_signed(df, limit, words, id_col, text_col))
+    nodes = scratch.keep(
         signed.filter("n > 0")
         .groupBy("node")
         .agg(F.min("id").alias("low"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     )
+    docs = scratch.keep(signed.select("id", "row", "n", "node"))
+    scratch.drop(signed)
     # Buckets. A leader is the node that comes first in one of four orders.
     turn = F.element_at(F.array(*(F.lit(int(x)) for x in _BAND_SALT.view(np.int64)[:4])), (F.pmod("key", F.lit(4)) + 1).cast("int"))
-    filed = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = durable(
+    filed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = scratch.keep(
         filed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("node").bitwiseXOR(turn)).alias("least")).filter("size > 1").select("key", "size", F.col("least").bitwiseXOR(turn).alias("leader"))
     )
-    members = durable(filed.join(buckets, "key").select("key", "node", "size", "leader"))
-    release(df.sparkSession)
+    members = scratch.keep(filed.join(buckets, "key").select("key", "band", "node", "size", "leader"))
+    scratch.drop(buckets)
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("rep.row").alias("row")), "node")
     rows = df.select(F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    texts = durable(wanted.join(rows, "row").groupBy("node").agg(F.first("text").alias("text")))
-    release(df.sparkSession)
-
-    first = members.filter("node != leader").select(*_ordered("node", "leader")).distinct()
-    links = durable(_confirm(first, texts, limit, words))
-    labels = components(links)
-    release(df.sparkSession)
-
-    # Buckets that do not hang together yet; in those of two all pairs have been tried.
-    labelled = _labelled(members.filter("size > 2").select("key", "node", "size"), labels)
-    open_keys = durable(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key"))
-    if not open_keys.isEmpty():
-        open_nodes = labelled.join(open_keys, "key").join(nodes.select("node", "bits", "bands"), "node").join(texts, "node")
-        found = durable(_across(open_nodes, limit, words))
-        if not found.isEmpty():
-            labels = components(links.unionByName(found))
-
-    named = _labelled(nodes.select("node", "low", "rep"), labels)
-    ends = durable(named.groupBy("component").agg(F.min("low").alias("low"), F.min("rep").alias("rep")))
-    placed = durable(named.select("node", "component").join(ends, "component"))
-    del filed, buckets, members, wanted, rows, texts, first, links, labels, labelled, open_keys, nodes, named, ends
-    release(df.sparkSession)
-    return signed.select("id", "row", "n", "node"), placed
+    texts = scratch.keep(wanted.join(rows, "row").groupBy("node").agg(F.first("text").alias("text")))
+
+    ordered = F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
+    first = members.filter("node != leader").groupBy(*ordered).agg(F.max(F.struct("size", "leader")).alias("of"))
+    pairs = scratch.keep(first.select(F.when(F.col("of.leader") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"), "of.leader", "of.size"))
+    links = scratch.keep(_confirm(pairs, texts, limit, words))
+    scratch.drop(pairs)
+    labels = components(links, scratch)
+
+    blocks = scratch.keep(_in_blocks(_open(members, labels, nodes)))
+    proposed = scratch.keep(_by_block(blocks, _proposed, _PROPOSED, limit, words).groupBy("member", "leader").agg(F.max("size").alias("size")))
+    scratch.drop(blocks)
+    if not proposed.isEmpty():
+        more = scratch.keep(_confirm(proposed, texts, limit, words))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links, scratch)
+        left = _in_blocks(_open(members, labels, nodes))
+        unsettled = scratch.keep(_by_block(left, _unsettled, _UNSETTLED, limit, words))
+        if not unsettled.isEmpty():
+            more = scratch.keep(_by_block(unsettled.join(texts, "node"), _settled, _LINKS, limit, words))
+            if not more.isEmpty():
+                labels = components(links.unionByName(more), scratch)
+
+    named = scratch.keep(_labelled(nodes.select("node", "low", "rep"), labels))
+    ends = named.groupBy("component").agg(F.min("low").alias("low"), F.min("rep").alias("rep"))
+    common = scratch.keep(heavy_keys(named, "component", named.count()))
+    return docs, scratch.keep(looked_up(named.select("node", "component"), "component", ends, common))
 
 
 def near_duplicates(df: DataFrame, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``n_shingles``, ``component_id`` and ``kept`` of every row."""
-    docs, placed = link(df, limit, words, id_col, text_col)
-    out = docs.join(placed.select("node", "low"), "node", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")))
+    with Scratch(df.sparkSession) as scratch:
+        docs, placed = link(df, scratch, limit, words, id_col, text_col)
+        filled = docs.filter("n > 0")
+        copied = scratch.keep(heavy_keys(filled, "node", docs.count()))
+        scratch.returned(docs, placed, copied)
+    named = looked_up(filled, "node", placed.select("node", F.col("low").alias("component_id")), copied).select("id", "n", "component_id")
+    out = named.unionByName(docs.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the smallest id, and every row
-    without words, with the columns they came with."""
-    docs, placed = link(df, limit, words, id_col, text_col)
-    row, turn = fresh(df, "row", "turn")
-    stay = docs.filter("n = 0").select("row").unionByName(placed.select("rep.row")).distinct().select(F.col("row").alias(row))
-    kept = df.withColumn(row, F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col))).join(stay, row, "left_semi")
-    # Rows that repeat an id and a text: the wordless all stay, of the others one.
-    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    numbered = kept.withColumn(turn, F.row_number().over(Window.partitionBy(row).orderBy(row)))
-    return numbered.filter((F.col(turn) == 1) | wordless).select(*df.columns)
+    """One row of each component, the one with the smallest id, and every row without
+    words, with the columns they came with. Of rows that repeat an id and a text with
+    words one stays, the one with the least hash of the row."""
+    with Scratch(df.sparkSession) as scratch:
+        _, placed = link(df, scratch, limit, words, id_col, text_col)
+        scratch.returned(placed)
+    row, one = fresh(df, "row", "one")
+    stay = placed.select(F.col("rep.row").alias(row)).distinct()
+    has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    order = F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if "map" not in f.dataType.simpleString()))
+    # Repeats are put together before and after the shuffle, so their number does not matter.
+    single = df.filter(has_words).groupBy(F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)).alias(row)).agg(F.min_by(whole, order).alias(one))
+    return single.join(stay, row, "left_semi").select(f"{one}.*").unionByName(df.filter(~has_words))
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
