@@ -1,69 +1,142 @@
 """Substring dedup with sliding sentence spans.
 
-A span is a run of words with at least twenty words and two sentences, known by its
-hash. It starts where a sentence does, or at a word that twenty more words of its
-sentence follow (itself included), and ends likewise; forty words without an end
-between them count as two sentences. So what is a span depends on its own words only.
-Hashed are the shortest span from every start on and up to every end; together they
-cover every word of any longer run that repeats, up to its true ends. Spans that occur
-more than once in the whole table are found by counting hashes; joining them back
-tells every occurrence whether it is the first (by id, then position). A word covered
-by any occurrence that is not the first of its span is removed.
-
-Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends. White
-space does not count. ``n_sentences`` and ``n_removed`` count sentences, and ones
-that are gone whole; for them, longer stretches are cut after words chosen by a hash.
+A text is cut into sentences; spans are runs of SENTENCES or more of them with
+WORDS words or more, known by a hash of their sentences: from every sentence on the
+shortest such run, and up to every sentence the shortest. They slide by one sentence
+and together cover every sentence of any longer run that repeats. Counting hashes over
+the whole table finds the spans that occur more than once; each of their occurrences
+then learns which is the first (by id, then position). Sentences that an occurrence
+covers which is not the first of its span are removed.
+
+Sentences end at ``.``, ``!``, ``?`` or an ellipsis before white space, at the full-width
+marks of Chinese and Japanese, and at line ends. Where no end is near, words decide: a
+word with FAR words of its sentence before it and after it closes a piece if its hash is
+the least among the NEAR words before and after. So where a text is cut depends on the
+words close by alone, not on how long the sentence is, and a passage that stands in
+sentences of different lengths, or in none, is cut alike. For spans, pieces are sentences.
+A run that starts or ends at such an inner cut needs INNER_WORDS words only; its
+occurrence is extended word by word beyond the cut as far as the first occurrence reads
+the same. Occurrences of a document that overlap are one stretch. It counts if it has
+WORDS words and a sentence's end inside, or SENTENCES * WORDS words without one.
+
+``n_sentences`` and ``n_removed`` count sentences, and ones that are gone whole, of which
+very long ones are cut by the same rule with WORDS words on either side. A word is a run
+without white space; in scripts written without spaces (Han, kana, Thai, Lao, Khmer,
+Burmese) each character is one. White space does not count in hashes.
+
+A single sentence of fewer than SENTENCES * WORDS words that repeats is kept, and so is a
+run of one word over and over, which has no inner cuts.
 
 Defined results: a null text has no sentences and stays null; empty stays empty;
 null ids come last in the order; rows that agree in id and text are one document
-and keep or lose the same words; further columns are not read.
+and keep or lose the same words; further columns are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import durable
-from ._common import SLICE_ROWS, map_batches, read
+from ..session import Scratch
+from ._common import LIGHT, MOST_HEAVY, looked_up, read, slices
 
 SENTENCES = 2
 WORDS = 20
-#: Stretches of more words than this are cut after words whose hash is 0 modulo CUT.
-LONG_WORDS = 40
-CUT = 8
+INNER_WORDS = 12
+FAR = 6
+NEAR = 2
+#: Pieces of a sentence in which cuts near a passage's edge may differ, as cuts are
+#: more than NEAR words apart, and the one before them.
+EDGE_PIECES = FAR // (NEAR + 1) + 1
 
-_ends = re.compile(r"[.!?]+[\"')\]»”]*\s+|\n\s*")
-_word = re.compile(r"\S+\s*")
+_ends = re.compile(r"[.!?…]+[\"')\]»”]*\s+|[。！？]+[\"')\]»”』」]*\s*|\n\s*")
+_SCRIPTS = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_unspaced = re.compile(f"[{_SCRIPTS}]").search
+_word = re.compile(r"\S+")
+_character = re.compile(rf"[{_SCRIPTS}]|[^\s{_SCRIPTS}]+")
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence with the white space after it; they tile the text."""
-    cuts = [0, *(m.end() for m in _ends.finditer(text))]
-    if cuts[-1] < len(text):
-        cuts.append(len(text))
+def _closing(words: list[str], far: int) -> list[int]:
+    """Places of a sentence's words that close a piece inside it."""
+    n = len(words)
+    if n <= 2 * far:
+        return []
+    lo = far - NEAR
+    h = [xxhash.xxh64_intdigest(w) for w in words[lo : n - lo]]
     out = []
-    for s, e in zip(cuts, cuts[1:]):
-        if e - s > 2 * LONG_WORDS and len(words := list(_word.finditer(text, s, e))) > LONG_WORDS:
-            at = s
-            for w in words[:-1]:
-                if xxhash.xxh64_intdigest(w[0].strip()) % CUT == 0:
-                    out.append((at, w.end()))
-                    at = w.end()
-            out.append((at, e))
-        else:
-            out.append((s, e))
+    for k in range(NEAR, len(h) - NEAR):
+        x = h[k]
+        if x == min(h[k - NEAR : k + NEAR + 1]) and x not in h[k - NEAR : k]:
+            out.append(lo + k)
     return out
 
 
-_BASE, _INNER_END, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+def _pieces(text: str, far: int = FAR) -> tuple[list[int], list[list[str]], list[bool]]:
+    """Starts and words of a text's sentences, and whether each starts at an inner cut.
+    A sentence reaches to the next one's start (the first from 0, the last to the end),
+    so that they tile the text; parts without words belong to the one before."""
+    words_of = _character if _unspaced(text) else _word
+    plain = words_of is _word
+    starts, pieces, inner = [], [], []
+    at = 0
+    for end in [*(m.end() for m in _ends.finditer(text)), len(text)]:
+        part = text[at:end]
+        words = part.split() if plain else words_of.findall(part)
+        if words:
+            closing = _closing(words, far)
+            starts.append(at)
+            inner.append(False)
+            if closing:
+                where = [at + m.start() for m in words_of.finditer(part)]
+                lo = 0
+                for c in closing:
+                    pieces.append(words[lo : c + 1])
+                    lo = c + 1
+                    starts.append(where[lo])
+                    inner.append(True)
+                words = words[lo:]
+            pieces.append(words)
+        at = end
+    if starts:
+        starts[0] = 0
+    return starts, pieces, inner
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each sentence with the white space after it; they tile the text."""
+    starts, _, _ = _pieces(text, WORDS)
+    return list(zip(starts, [*starts[1:], len(text)]))
+
+
+def _marks(words: list[str]) -> bytes:
+    """Four bytes of each word's hash."""
+    return b"".join([xxhash.xxh32_digest(w) for w in words])
+
+
+def _edges(pieces: list[list[str]], inner: list[bool]) -> tuple[dict[int, bytes], dict[int, bytes]]:
+    """Of each inner cut (the piece after it): the words of its sentence in the
+    EDGE_PIECES pieces before, and in as many from it on."""
+    back, ahead = {}, {}
+    for k, cut in enumerate(inner):
+        if cut:
+            lo = k - 1
+            while inner[lo] and k - lo < EDGE_PIECES:
+                lo -= 1
+            hi = k + 1
+            while hi < len(inner) and inner[hi] and hi - k < EDGE_PIECES:
+                hi += 1
+            back[k] = _marks([w for p in pieces[lo:k] for w in p])
+            ahead[k] = _marks([w for p in pieces[k:hi] for w in p])
+    return back, ahead
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -72,114 +145,159 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words, last words + 1 and hashes of the spans."""
-    words = text.split()
-    cuts = [0, *(m.end() for m in _ends.finditer(text)), len(text)]
-    n = np.array([k for s, e in zip(cuts, cuts[1:]) if (k := len(text[s:e].split()))], dtype=np.int64)
-    if len(words) < WORDS:
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def spans(text: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+    """Number of sentences; of each span its first sentence, last sentence + 1, hash, and
+    the words beyond its ends, where these are inner cuts."""
+    _, pieces, inner = _pieces(text)
+    n = len(pieces)
+    upto = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum([len(p) for p in pieces], out=upto[1:])
+    if n < SENTENCES or upto[-1] < INNER_WORDS:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    stop = np.cumsum(n)
-    start = stop - n
-    of = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(words))
-    # From every start on.
-    p = at[(stop[of] - at >= WORDS) | (at == start[of])]
-    first_end = start + np.minimum(n, WORDS)
-    m = np.maximum(of[p] + SENTENCES - 1, np.searchsorted(first_end, p + WORDS))
-    inside = stop[of[p]] - p >= SENTENCES * WORDS
-    ok = inside | (m < len(n))
-    q = np.where(inside, p + SENTENCES * WORDS, first_end[np.minimum(m, len(n) - 1)])
-    runs = p[ok] * (len(words) + 1) + q[ok]
-    # Up to every end.
-    q = at[(at + 1 - start[of] >= WORDS) | (at + 1 == stop[of])] + 1
-    last_start = stop - np.minimum(n, WORDS)
-    m = np.minimum(of[q - 1] - SENTENCES + 1, np.searchsorted(last_start, q - WORDS, side="right") - 1)
-    inside = q - start[of[q - 1]] >= SENTENCES * WORDS
-    ok = inside | (m >= 0)
-    p = np.where(inside, q - SENTENCES * WORDS, last_start[np.maximum(m, 0)])
-    runs = np.unique(np.concatenate([runs, p[ok] * (len(words) + 1) + q[ok]]))
-    p, q = runs // (len(words) + 1), runs % (len(words) + 1)
-    # Polynomials in the words' hashes, modulo 2**64, of the words and the ends between them.
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    power = _powers(_BASE, len(words))
-    ended = hashes.copy()
-    ended[stop - 1] ^= _INNER_END
-    before = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(ended * power, dtype=np.uint64)])
-    key = (before[q - 1] - before[p] + hashes[q - 1] * power[q - 1]) * _powers(_INVERSE, len(words))[p]
-    key = (key ^ (key >> np.uint64(33)) ^ (q - p).astype(np.uint64)) * _MIX
-    return p, q, (key ^ (key >> np.uint64(29))).view(np.int64)
-
-
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """``span``, ``none`` (no id), ``id``, ``row``, ``i``, ``j`` of every span."""
-    schema = T.StructType([docs.schema["id"], docs.schema["row"], T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("span", T.LongType())])
+        return len(_pieces(text, WORDS)[0]) if any(inner) else n, none, none, none, [], []
+    at = np.arange(n + 1)
+    least = np.where([*inner, False], INNER_WORDS, WORDS)
+    # The shortest from every start on, and the shortest up to every end.
+    end = np.maximum(np.searchsorted(upto, upto + least), at + SENTENCES)
+    start = np.minimum(np.searchsorted(upto, upto - least, side="right") - 1, at - SENTENCES)
+    runs = np.unique(np.concatenate([at[end <= n] * (n + 1) + end[end <= n], start[start >= 0] * (n + 1) + at[start >= 0]]))
+    i, j = runs // (n + 1), runs % (n + 1)
+    # Polynomials in the sentences' hashes, modulo 2**64.
+    own = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(p)) for p in pieces), dtype=np.uint64, count=n)
+    before = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(own * _powers(_BASE, n), out=before[1:])
+    key = (before[j] - before[i]) * _powers(_INVERSE, n)[i]
+    key = (key ^ (key >> np.uint64(33)) ^ (j - i).astype(np.uint64)) * _MIX
+    back, ahead = _edges(pieces, inner)
+    n = len(_pieces(text, WORDS)[0]) if any(inner) else n
+    return n, i, j, (key ^ (key >> np.uint64(29))).view(np.int64), [back.get(x, b"") for x in i.tolist()], [ahead.get(x, b"") for x in j.tolist()]
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """``id``, ``row``, number of sentences ``n`` and the spans ``i``, ``j``, ``span``,
+    ``back``, ``ahead`` (arrays of one length) of every row."""
+    ints, longs, marks = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType()), T.ArrayType(T.BinaryType())
+    kinds = {"i": ints, "j": ints, "span": longs, "back": marks, "ahead": marks}
+    schema = T.StructType([docs.schema["id"], docs.schema["row"], T.StructField("n", T.IntegerType()), *(T.StructField(k, t) for k, t in kinds.items())])
+
+    def arrays(parts, kind):
+        upto = np.zeros(len(parts) + 1, dtype=np.int32)
+        np.cumsum([len(p) for p in parts], out=upto[1:])
+        values = np.concatenate(parts).astype(kind) if kind else [x for p in parts for x in p]
+        return pa.ListArray.from_arrays(pa.array(upto), pa.array(values, None if kind else pa.binary()))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                n, i, j, span, back, ahead = zip(*map(spans, part.column("text").to_pylist()))
+                made = [arrays(i, np.int32), arrays(j, np.int32), arrays(span, np.int64), arrays(back, None), arrays(ahead, None)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(n, pa.int32()), *made], names=schema.names)
+
+    return docs.select("id", "row", "text").mapInArrow(run, schema)
+
+
+def _reach(text: str, cut: dict, starts: list[int], words: list[int]) -> tuple[int, int]:
+    """Start and end of a span's occurrence, extended beyond inner cuts as far as the
+    words are those of the span's first occurrence. ``words``: where the words start,
+    and the text's end."""
+    first = bisect_left(words, starts[cut["i"]]) if cut["i"] else 0
+    last = bisect_left(words, starts[cut["j"]]) if cut["j"] < len(starts) else len(words) - 1
+    mark = lambda k: xxhash.xxh32_digest(text[words[k] : words[k + 1]].split()[0])
+    back, ahead = cut["back"], cut["ahead"]
+    k = len(back)
+    while k and first and mark(first - 1) == back[k - 4 : k]:
+        first, k = first - 1, k - 4
+    k = 0
+    while k < len(ahead) and last < len(words) - 1 and mark(last) == ahead[k : k + 4]:
+        last, k = last + 1, k + 4
+    return first, last
+
+
+def _without(text: str, cuts: list[dict]) -> tuple[str, int, list[dict]]:
+    """What is left of a text, the number of sentences that are gone whole and what was
+    removed."""
+    starts, _, inner = _pieces(text)
+    words_of = _character if _unspaced(text) else _word
+    words = [m.start() for s, e in zip(starts, [*starts[1:], len(text)]) for m in words_of.finditer(text, s, e)]
+    ends = [bisect_left(words, s) for s, cut in zip(starts, inner) if not cut]
+    words.append(len(text))
+    stretches: list[list[int]] = []
+    for s, e in sorted(_reach(text, c, starts, words) for c in cuts):
+        if stretches and s < stretches[-1][1]:
+            stretches[-1][1] = max(e, stretches[-1][1])
+        else:
+            stretches.append([s, e])
+    removed: list[dict] = []
+    for s, e in stretches:
+        k = bisect_right(ends, s)
+        if e - s >= (WORDS if k < len(ends) and ends[k] < e else SENTENCES * WORDS):
+            start, end = words[s] if s else 0, words[e]
+            if removed and removed[-1]["end"] == start:
+                removed[-1]["end"] = end
+            else:
+                removed.append({"start": start, "end": end})
+    kept = [0, *(x for r in removed for x in (r["start"], r["end"])), len(text)]
+    n, k = 0, 0
+    for s, e in sentences(text):
+        while k < len(removed) and removed[k]["end"] < e:
+            k += 1
+        n += k < len(removed) and removed[k]["start"] <= s
+    return "".join([text[s:e] for s, e in zip(kept[::2], kept[1::2])]), n, removed
+
+
+_REMOVED = "array<struct<start: bigint, end: bigint>>"
+
+
+def _cleaned(rows: DataFrame) -> DataFrame:
+    """``id``, ``text``, ``n_sentences``, ``n_removed``, ``removed`` from ``id``, ``text``,
+    ``n`` and ``cuts``. Only texts with cuts become Python objects."""
+    schema = T.StructType([rows.schema["id"], T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.DataType.fromDDL(_REMOVED))])
+    pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(lo, SLICE_ROWS)
-                found = [spans(t or "") for t in part.column("text").to_pylist()]
-                of = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                i, j, span = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(of), part.column("row").take(of), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(span)], names=schema.names
-                )
+            for part in slices(batch):
+                texts, cuts = part.column("text"), part.column("cuts")
+                some = pc.is_valid(cuts)
+                done = [_without(t, c) for t, c in zip(texts.filter(some).to_pylist(), cuts.filter(some).to_pylist())]
+                lost = np.zeros(part.num_rows, dtype=np.int64)
+                lost[some.to_numpy(zero_copy_only=False)] = [d[1] for d in done]
+                each = iter(done)
+                removed = [next(each)[2] if x else [] for x in some.to_pylist()]
+                text = pc.replace_with_mask(texts, some, pa.array([d[0] for d in done], texts.type))
+                yield pa.RecordBatch.from_arrays([part.column("id"), text, part.column("n").cast(pa.int64()), pa.array(lost), pa.array(removed, pair)], names=schema.names)
 
-    return docs.select("id", "row", "text").mapInArrow(run, schema).select("span", F.col("id").isNull().alias("none"), "id", "row", "i", "j")
+    return rows.select("id", "text", "n", "cuts").mapInArrow(run, schema)
 
 
 def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, ``text`` without repeated words, ``n_sentences``, ``n_removed`` and
+    """Id, ``text`` without repeated sentences, ``n_sentences``, ``n_removed`` and
     ``removed`` (start and end in code points) of every row."""
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    found = _occurrences(docs)
-    place = F.struct("none", "id", "row", "i")
-    # Kept, so that the join has plain exchanges on both sides and hot spans are split.
-    again = durable(found.groupBy("span").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1").select("span", F.col("first.row").alias("first_row"), F.col("first.i").alias("first_i")))
-    later = found.join(again, "span").filter((F.col("row") != F.col("first_row")) | (F.col("i") != F.col("first_i")))
-    cuts = durable(later.groupBy("row").agg(F.collect_set(F.struct("i", "j")).alias("cuts")))
-
-    schema = T.StructType(
-        [
-            T.StructField("id", df.schema[id_col].dataType),
-            T.StructField("text", T.StringType()),
-            T.StructField("n_sentences", T.LongType()),
-            T.StructField("n_removed", T.LongType()),
-            T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-        ]
-    )
-
-    def clean(text, covered):
-        if not text:
-            return text, 0, 0, []
-        all_ = sentences(text)
-        if not covered:
-            return text, len(all_), 0, []
-        starts = [m.start() for m in _word.finditer(text)]
-        gone = bytearray(len(starts))
-        for c in covered:
-            gone[c["i"] : c["j"]] = b"\1" * (c["j"] - c["i"])
-        starts[0] = 0
-        removed: list[dict] = []
-        for s, e, g in zip(starts, [*starts[1:], len(text)], gone):
-            if g and removed and removed[-1]["end"] == s:
-                removed[-1]["end"] = e
-            elif g:
-                removed.append({"start": s, "end": e})
-        kept = [0, *(x for r in removed for x in (r["start"], r["end"])), len(text)]
-        n = sum(any(r["start"] <= s and e <= r["end"] for r in removed) for s, e in all_)
-        return "".join([text[s:e] for s, e in zip(kept[::2], kept[1::2])]), len(all_), n, removed
-
-    def make():
-        def work(cols):
-            out = [clean(t, c) for t, c in zip(cols["text"], cols["cuts"])]
-            return {"id": cols["id"]} | {k: [o[i] for o in out] for i, k in enumerate(("text", "n_sentences", "n_removed", "removed"))}
-
-        return work
-
-    return map_batches(docs.join(cuts, "row", "left").select("id", "text", "cuts"), schema, make).withColumnRenamed("id", id_col)
+    filled = docs.filter("text != ''")
+    with Scratch(df.sparkSession) as scratch:
+        found = scratch.keep(_found(filled))
+        # Spans that occur more than once; those with a large share of all are few.
+        again = scratch.keep(found.select(F.explode("span").alias("span")).groupBy("span").agg(F.count("*").alias("times")).filter("times > 1"))
+        total = found.agg(F.coalesce(F.sum(F.size("span")), F.lit(0)).alias("n")).first()["n"]
+        heavy = again.filter(F.col("times") > max(LIGHT, total // MOST_HEAVY)).select("span")
+        each = found.select("id", "row", F.explode(F.arrays_zip("i", "j", "span", "back", "ahead")).alias("at")).select("at.span", F.col("id").isNull().alias("none"), "id", "row", "at.i", "at.j", "at.back", "at.ahead")
+        occurrences = scratch.keep(looked_up(each, "span", again.select("span"), heavy))
+        first = scratch.keep(occurrences.groupBy("span").agg(F.min(F.struct("none", "id", "row", "i", "back", "ahead")).alias("first")))
+        later = looked_up(occurrences.select("span", "row", "i", "j"), "span", first, heavy).filter((F.col("row") != F.col("first.row")) | (F.col("i") != F.col("first.i")))
+        cuts = scratch.keep(later.groupBy("row").agg(F.collect_set(F.struct("i", "j", "first.back", "first.ahead")).alias("cuts")))
+        plan = scratch.keep(found.select("row", "n").distinct().join(cuts, "row", "left"))
+        scratch.returned(plan)
+    # Both sides are plain tables, so that a row that repeats very often can be split.
+    out = _cleaned(filled.join(plan, "row")).withColumnRenamed("id", id_col)
+    none = docs.filter("text is null or text = ''")
+    zero = F.lit(0).cast("long")
+    rest = none.select(F.col("id").alias(id_col), "text", zero.alias("n_sentences"), zero.alias("n_removed"), F.array().cast(_REMOVED).alias("removed"))
+    return out.unionByName(rest)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -138,22 +138,61 @@ def test_substring_dedup(spark, docs, empty):
     assert spans.dedup_spans(docs).count() == docs.count()
 
 
-def test_substring_dedup_against_brute_force(docs, corpus):
-    occurrences = defaultdict(list)
-    for doc_id, text in {(r[0], r[1]) for r in corpus if r[1]}:
-        sentences = [" ".join(text[s:e].split()) for s, e in spans.sentences(text)]
-        for i in range(len(sentences)):
-            j = i
-            while j < len(sentences) and (j - i < spans.SENTENCES or sum(len(s.split()) for s in sentences[i:j]) < spans.WORDS):
-                j += 1
-            if j - i >= spans.SENTENCES and sum(len(s.split()) for s in sentences[i:j]) >= spans.WORDS:
-                occurrences[tuple(sentences[i:j])].append((doc_id is None, doc_id or 0, i, j))
+def test_substring_dedup_against_brute_force(spark):
+    """All runs of two or more sentences and twenty or more words, found by a splitter of
+    its own; sentences are too short for inner cuts. Compares texts, counts and offsets."""
+    r = random.Random(3)
+    made = lambda n: " ".join("".join(r.choices("aeioutnsr", k=6)) for _ in range(n)).capitalize()
+    bank = [made(r.randint(1, 12)) + r.choice([". ", "! ", "?  ", ".\n", "\n\n", '." ', "… "]) for _ in range(60)]
+    bank += ["天地玄黄宇宙洪荒日月盈。", "寒来暑往秋收冬藏！", "云腾致雨露结为霜。"]
+    texts = ["".join(r.choices(bank, k=r.randint(1, 9))) for _ in range(50)]
+    for _ in range(50):
+        host, lent = r.choice(texts), r.choice(texts)
+        cut = re.split(r"(?<=\s)(?=[A-Z])", lent)
+        lo = r.randrange(len(cut))
+        texts.append(host + "".join(cut[lo : lo + 4]))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[60]), (7, texts[7]), (200, ""), (201, None), (202, "   \n"), (203, "".join(bank[60:]) * 3)]
+    han = re.compile("[\u4e00-\u9fff]|[^\\s\u4e00-\u9fff]+")
+
+    def split(text):
+        tiles = re.findall(r"(?s).*?(?:[.!?…]+[\"')\]»”]*\s+|[。！？]+\s*|\n\s*|$)", text)
+        out, at = [], 0
+        for tile in tiles:
+            words = tuple(han.findall(tile))
+            if words:
+                out.append([at, at + len(tile), words])
+            elif out:
+                out[-1][1] += len(tile)
+            at += len(tile)
+        if out:
+            out[0][0] = 0
+        return out
+
+    places = defaultdict(set)
+    for d, text in rows:
+        cut = split(text or "")
+        for i in range(len(cut)):
+            for j in range(i + 2, len(cut) + 1):
+                if sum(len(c[2]) for c in cut[i:j]) >= 20:
+                    places[tuple(c[2] for c in cut[i:j])].add((d is None, d or 0, i, j))
     gone = defaultdict(set)
-    for places in occurrences.values():
-        for none, doc_id, i, j in sorted(places)[1:]:
-            gone[None if none else doc_id].update(range(i, j))
-    for r in spans.dedup_spans(docs).collect():
-        assert r["n_removed"] == len(gone[r["doc_id"]]), r["doc_id"]
+    for found in places.values():
+        for none, d, i, j in sorted(found)[1:]:
+            gone[None if none else d].update(range(i, j))
+    assert sum(map(len, gone.values())) > 100
+    out = spans.dedup_spans(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert len(out) == len(rows)
+    for x in out:
+        text = dict(rows)[x["doc_id"]]
+        cut = split(text or "")
+        stay = [c for k, c in enumerate(cut) if k not in gone[x["doc_id"]]]
+        assert (x["n_sentences"], x["n_removed"]) == (len(cut), len(cut) - len(stay)), x["doc_id"]
+        if cut:
+            assert x["text"] == "".join(text[s:e] for s, e, _ in stay), x["doc_id"]
+            covered = [k for c in x["removed"] for k in range(c["start"], c["end"])]
+            assert covered == [k for i, c in enumerate(cut) if i in gone[x["doc_id"]] for k in range(c[0], c[1])]
+        elif text is not None:
+            assert x["removed"] == [] and x["text"] == text
 
 
 def test_substring_dedup_removes_every_repeated_run(spark):
