@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import freeing_shuffles
+
 #: A word is a run of anything but space, tab, newline, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows, and bytes of an Arrow batch, that a Python worker turns into objects at a
@@ -92,17 +94,20 @@ MOST_HEAVY = 4096
 LIGHT = 64
 
 
-def heavy_keys(rows: DataFrame, key: str, n_rows: int) -> DataFrame:
-    """The keys that hold more than 1 / MOST_HEAVY of ``n_rows`` rows. There are at
-    most about MOST_HEAVY of them, whatever the data, so they may be broadcast."""
-    return rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(LIGHT, n_rows // MOST_HEAVY)).select(key)
+def heavy_keys(counted: DataFrame, key: str, n_rows: int) -> list[int]:
+    """From one line a key with the number ``n`` of its rows: the keys that hold more
+    than 1 / MOST_HEAVY of all ``n_rows`` rows. Whatever the data, there are no more
+    than about MOST_HEAVY of them, so the driver may know them and plans name them."""
+    with freeing_shuffles(counted.sparkSession):
+        return [r[0] for r in counted.filter(F.col("n") > max(LIGHT, n_rows // MOST_HEAVY)).select(key).collect()]
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, heavy: DataFrame) -> DataFrame:
+def looked_up(rows: DataFrame, key: str, table: DataFrame, heavy: list[int]) -> DataFrame:
     """Inner join with ``table``, which holds each key once. Rows of heavy keys stay
     where they are and meet the broadcast lines of these; the others are shuffled, and
     no key among them is large."""
-    lines = table.join(F.broadcast(heavy), key, "left_semi")
-    hot = rows.join(F.broadcast(lines), key)
-    cold = rows.join(F.broadcast(heavy), key, "left_anti").join(table, key)
-    return hot.unionByName(cold)
+    if not heavy:
+        return rows.join(table, key)
+    is_heavy = F.col(key).isin(heavy)
+    hot = rows.filter(is_heavy).join(F.broadcast(table.filter(is_heavy)), key)
+    return hot.unionByName(rows.filter(~is_heavy).join(table.filter(~is_heavy), key))

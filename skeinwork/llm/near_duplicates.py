@@ -294,7 +294,9 @@ _LINKS = "a long, b long"
 
 
 def _by_block(rows: DataFrame, work, schema: str, limit: int, words: int) -> DataFrame:
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # As many tasks as the session has partitions: the work is in comparing, not in bytes.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
         rest = None
@@ -311,11 +313,11 @@ def _by_block(rows: DataFrame, work, schema: str, limit: int, words: int) -> Dat
     return dealt.mapInPandas(run, schema)
 
 
-def _open(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame, nodes: DataFrame, large: list[int]) -> DataFrame:
     """Rows of the buckets that do not hang together; of two nodes, all pairs have been tried."""
     labelled = _labelled(members.filter("size > 2").select("key", "band", "node", "size"), labels)
     keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    return labelled.join(keys, "key", "left_semi").join(nodes.select("node", "bits"), "node")
+    return looked_up(labelled, "key", keys, large).join(nodes.select("node", "bits"), "node")
 
 
 def link(df: DataFrame, scratch: Scratch, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -338,7 +340,8 @@ def link(df: DataFrame, scratch: Scratch, limit: int = LIMIT, words: int = SHING
     buckets = scratch.keep(
         filed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("node").bitwiseXOR(turn)).alias("least")).filter("size > 1").select("key", "size", F.col("least").bitwiseXOR(turn).alias("leader"))
     )
-    members = scratch.keep(filed.join(buckets, "key").select("key", "band", "node", "size", "leader"))
+    large = heavy_keys(buckets.withColumn("n", F.col("size")), "key", nodes.count() * (COORDINATES // rows_in_band(limit)))
+    members = scratch.keep(looked_up(filed, "key", buckets, large).select("key", "band", "node", "size", "leader"))
     scratch.drop(buckets)
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("rep.row").alias("row")), "node")
     rows = df.select(F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
@@ -351,7 +354,7 @@ def link(df: DataFrame, scratch: Scratch, limit: int = LIMIT, words: int = SHING
     scratch.drop(pairs)
     labels = components(links, scratch)
 
-    blocks = scratch.keep(_in_blocks(_open(members, labels, nodes)))
+    blocks = scratch.keep(_in_blocks(_open(members, labels, nodes, large)))
     proposed = scratch.keep(_by_block(blocks, _proposed, _PROPOSED, limit, words).groupBy("member", "leader").agg(F.max("size").alias("size")))
     scratch.drop(blocks)
     if not proposed.isEmpty():
@@ -359,7 +362,7 @@ def link(df: DataFrame, scratch: Scratch, limit: int = LIMIT, words: int = SHING
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links, scratch)
-        left = _in_blocks(_open(members, labels, nodes))
+        left = _in_blocks(_open(members, labels, nodes, large))
         unsettled = scratch.keep(_by_block(left, _unsettled, _UNSETTLED, limit, words))
         if not unsettled.isEmpty():
             more = scratch.keep(_by_block(unsettled.join(texts, "node"), _settled, _LINKS, limit, words))
@@ -367,9 +370,9 @@ def link(df: DataFrame, scratch: Scratch, limit: int = LIMIT, words: int = SHING
                 labels = components(links.unionByName(more), scratch)
 
     named = scratch.keep(_labelled(nodes.select("node", "low", "rep"), labels))
-    ends = named.groupBy("component").agg(F.min("low").alias("low"), F.min("rep").alias("rep"))
-    common = scratch.keep(heavy_keys(named, "component", named.count()))
-    return docs, scratch.keep(looked_up(named.select("node", "component"), "component", ends, common))
+    ends = scratch.keep(named.groupBy("component").agg(F.min("low").alias("low"), F.min("rep").alias("rep"), F.count("*").alias("n")))
+    common = heavy_keys(ends, "component", named.count())
+    return docs, scratch.keep(looked_up(named.select("node", "component"), "component", ends.drop("n"), common))
 
 
 def near_duplicates(df: DataFrame, limit: int = LIMIT, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,8 +380,8 @@ def near_duplicates(df: DataFrame, limit: int = LIMIT, words: int = SHINGLE_WORD
     with Scratch(df.sparkSession) as scratch:
         docs, placed = link(df, scratch, limit, words, id_col, text_col)
         filled = docs.filter("n > 0")
-        copied = scratch.keep(heavy_keys(filled, "node", docs.count()))
-        scratch.returned(docs, placed, copied)
+        copied = heavy_keys(filled.groupBy("node").agg(F.count("*").alias("n")), "node", docs.count())
+        scratch.returned(docs, placed)
     named = looked_up(filled, "node", placed.select("node", F.col("low").alias("component_id")), copied).select("id", "n", "component_id")
     out = named.unionByName(docs.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

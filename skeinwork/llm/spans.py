@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Scratch
-from ._common import LIGHT, MOST_HEAVY, looked_up, read, slices
+from ._common import heavy_keys, looked_up, read, slices
 
 SENTENCES = 2
 WORDS = 20
@@ -282,9 +282,9 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     with Scratch(df.sparkSession) as scratch:
         found = scratch.keep(_found(filled))
         # Spans that occur more than once; those with a large share of all are few.
-        again = scratch.keep(found.select(F.explode("span").alias("span")).groupBy("span").agg(F.count("*").alias("times")).filter("times > 1"))
+        again = scratch.keep(found.select(F.explode("span").alias("span")).groupBy("span").agg(F.count("*").alias("n")).filter("n > 1"))
         total = found.agg(F.coalesce(F.sum(F.size("span")), F.lit(0)).alias("n")).first()["n"]
-        heavy = again.filter(F.col("times") > max(LIGHT, total // MOST_HEAVY)).select("span")
+        heavy = heavy_keys(again, "span", total)
         each = found.select("id", "row", F.explode(F.arrays_zip("i", "j", "span", "back", "ahead")).alias("at")).select("at.span", F.col("id").isNull().alias("none"), "id", "row", "at.i", "at.j", "at.back", "at.ahead")
         occurrences = scratch.keep(looked_up(each, "span", again.select("span"), heavy))
         first = scratch.keep(occurrences.groupBy("span").agg(F.min(F.struct("none", "id", "row", "i", "back", "ahead")).alias("first")))
