@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -639,11 +640,51 @@ def test_top_k_prunes():
     r = np.random.default_rng(1)
     centres = r.normal(0, 200, (20, 16))
     v = np.floor(centres[r.integers(0, 20, 4000)] + r.normal(0, 3, (4000, 16)))
-    tree = topk.BallTree(v)
     ids = np.arange(len(v))
+    tree = topk.BallTree(v / 256, ids, ids)  # whole numbers again, times 256
     for q in v[:20]:
-        best = sorted(((float(s), -i) for i, s in enumerate(v @ q)), reverse=True)[:5]
-        assert sorted(tree.search(q, 5, ids, -1, -np.inf, ids), reverse=True) == best
+        best = sorted(((int(s), -i) for i, s in enumerate(v @ q)), reverse=True)[:5]
+        tree.visited = 0
+        assert sorted(tree.search(q / 256, -1, 5), reverse=True) == best
+        alone, tree.visited = tree.visited, 0
+        # A k-th score that other shards have reached spares nodes, and all of them if it is out of reach.
+        assert sorted(tree.search(q / 256, -1, 5, best[4][0]), reverse=True) == best
+        known, tree.visited = tree.visited, 0
+        assert tree.search(q / 256, -1, 5, 10 * best[0][0]) == [] and tree.visited == 0
+        assert known <= alone < len(tree.centre) / 2
+
+
+def test_top_k_shares_the_current_score_between_waves(spark, monkeypatch):
+    """The second wave of shards starts from the k-th scores of the first."""
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(600)], "vec_id bigint, embedding array<double>")
+    floors = []
+
+    def search(rows, k, old=topk._search):
+        floors.append({x["floor"] for x in rows.filter("asks").collect()})
+        return old(rows, k)
+
+    monkeypatch.setattr(topk, "_search", search)
+    topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=100).count()
+    assert len(floors) == 3 and floors[0] == {None} and None not in floors[1] | floors[2] and min(floors[2]) >= min(floors[1])
+
+
+def test_top_k_of_large_components(spark):
+    """Scores that doubles do not hold, and ones beyond the long's range."""
+    r = random.Random(5)
+    for size in (1e6, 1e12, 1e15, 1e30, 1.7e308):
+        rows = [(i, [r.uniform(-1, 1) * size, r.uniform(-1, 1) * size * r.choice([1, 1e-9, 1e-300]), 1.0]) for i in range(120)]
+        rows += [(200, [size, 1.0, 1.0]), (250, [size, 1.0, 1.0]), (300, [5e-324, -5e-324, 0.0])]
+        whole = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows]
+        clamp = lambda s: max(-(2**63), min(2**63 - 1, s))
+        want = []
+        for i, q in whole:
+            if i % 50 == 0:
+                scores = sorted((-clamp(sum(a * b for a, b in zip(q, v))), j) for j, v in whole if j != i)
+                want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scores[:5])]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        got = topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=70).collect()
+        assert bag((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got) == bag(want), size
 
 
 # --------------------------------------------------------------------------
