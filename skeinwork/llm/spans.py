@@ -36,7 +36,8 @@ an empty result.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -117,28 +118,6 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(text)]))
 
 
-def _marks(words: list[str]) -> bytes:
-    """Four bytes of each word's hash."""
-    return b"".join([xxhash.xxh32_digest(w) for w in words])
-
-
-def _edges(pieces: list[list[str]], inner: list[bool]) -> tuple[dict[int, bytes], dict[int, bytes]]:
-    """Of each inner cut (the piece after it): the words of its sentence in the
-    EDGE_PIECES pieces before, and in as many from it on."""
-    back, ahead = {}, {}
-    for k, cut in enumerate(inner):
-        if cut:
-            lo = k - 1
-            while inner[lo] and k - lo < EDGE_PIECES:
-                lo -= 1
-            hi = k + 1
-            while hi < len(inner) and inner[hi] and hi - k < EDGE_PIECES:
-                hi += 1
-            back[k] = _marks([w for p in pieces[lo:k] for w in p])
-            ahead[k] = _marks([w for p in pieces[k:hi] for w in p])
-    return back, ahead
-
-
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
@@ -149,16 +128,16 @@ _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def spans(text: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+def spans(text: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Number of sentences; of each span its first sentence, last sentence + 1, hash, and
-    the words beyond its ends, where these are inner cuts."""
+    whether it starts or ends at an inner cut."""
     _, pieces, inner = _pieces(text)
     n = len(pieces)
     upto = np.zeros(n + 1, dtype=np.int64)
     np.cumsum([len(p) for p in pieces], out=upto[1:])
     if n < SENTENCES or upto[-1] < INNER_WORDS:
         none = np.zeros(0, dtype=np.int64)
-        return len(_pieces(text, WORDS)[0]) if any(inner) else n, none, none, none, [], []
+        return len(_pieces(text, WORDS)[0]) if any(inner) else n, none, none, none, none.astype(bool)
     at = np.arange(n + 1)
     least = np.where([*inner, False], INNER_WORDS, WORDS)
     # The shortest from every start on, and the shortest up to every end.
@@ -172,42 +151,66 @@ def spans(text: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, list[byte
     np.cumsum(own * _powers(_BASE, n), out=before[1:])
     key = (before[j] - before[i]) * _powers(_INVERSE, n)[i]
     key = (key ^ (key >> np.uint64(33)) ^ (j - i).astype(np.uint64)) * _MIX
-    back, ahead = _edges(pieces, inner)
-    n = len(_pieces(text, WORDS)[0]) if any(inner) else n
-    return n, i, j, (key ^ (key >> np.uint64(29))).view(np.int64), [back.get(x, b"") for x in i.tolist()], [ahead.get(x, b"") for x in j.tolist()]
+    cut = np.array([*inner, False])
+    n = len(_pieces(text, WORDS)[0]) if cut.any() else n
+    return n, i, j, (key ^ (key >> np.uint64(29))).view(np.int64), cut[i] | cut[j]
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """``id``, ``row``, number of sentences ``n`` and the spans ``i``, ``j``, ``span``,
-    ``back``, ``ahead`` (arrays of one length) of every row."""
-    ints, longs, marks = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType()), T.ArrayType(T.BinaryType())
-    kinds = {"i": ints, "j": ints, "span": longs, "back": marks, "ahead": marks}
-    schema = T.StructType([docs.schema["id"], docs.schema["row"], T.StructField("n", T.IntegerType()), *(T.StructField(k, t) for k, t in kinds.items())])
+    """``id``, ``row``, number of sentences ``n``, and ``span`` and ``open`` (at an inner
+    cut) of the spans of every row."""
+    schema = T.StructType(
+        [docs.schema["id"], docs.schema["row"], T.StructField("n", T.IntegerType()), T.StructField("span", T.ArrayType(T.LongType())), T.StructField("open", T.ArrayType(T.BooleanType()))]
+    )
 
-    def arrays(parts, kind):
+    def arrays(parts):
         upto = np.zeros(len(parts) + 1, dtype=np.int32)
         np.cumsum([len(p) for p in parts], out=upto[1:])
-        values = np.concatenate(parts).astype(kind) if kind else [x for p in parts for x in p]
-        return pa.ListArray.from_arrays(pa.array(upto), pa.array(values, None if kind else pa.binary()))
+        return pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(parts)))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                n, i, j, span, back, ahead = zip(*map(spans, part.column("text").to_pylist()))
-                made = [arrays(i, np.int32), arrays(j, np.int32), arrays(span, np.int64), arrays(back, None), arrays(ahead, None)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(n, pa.int32()), *made], names=schema.names)
+                n, _, _, span, inner = zip(*map(spans, part.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(n, pa.int32()), arrays(span), arrays(inner)], names=schema.names)
 
     return docs.select("id", "row", "text").mapInArrow(run, schema)
 
 
-def _reach(text: str, cut: dict, starts: list[int], words: list[int]) -> tuple[int, int]:
-    """Start and end of a span's occurrence, extended beyond inner cuts as far as the
-    words are those of the span's first occurrence. ``words``: where the words start,
-    and the text's end."""
-    first = bisect_left(words, starts[cut["i"]]) if cut["i"] else 0
-    last = bisect_left(words, starts[cut["j"]]) if cut["j"] < len(starts) else len(words) - 1
+def _edges(rows: DataFrame) -> DataFrame:
+    """``span``, and the words of its sentences beyond its inner cuts, ``back`` and
+    ``ahead`` (four bytes of each word's hash; of the EDGE_PIECES pieces next to it),
+    from ``text`` and ``wanted`` (an array of ``span``, ``at``)."""
+
+    def marks(pieces):
+        return b"".join([xxhash.xxh32_digest(w) for p in pieces for w in p])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                out = []
+                for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
+                    _, pieces, inner = _pieces(text)
+                    _, i, j, _, _ = spans(text)
+                    for w in wanted:
+                        lo = first = int(i[w["at"] // 2])
+                        while inner[lo] and first - lo < EDGE_PIECES:
+                            lo -= 1
+                        hi = last = int(j[w["at"] // 2])
+                        while hi < len(inner) and inner[hi] and hi - last < EDGE_PIECES:
+                            hi += 1
+                        out.append((w["span"], marks(pieces[lo:first]), marks(pieces[last:hi])))
+                span, back, ahead = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(span, pa.int64()), pa.array(back, pa.binary()), pa.array(ahead, pa.binary())], names=["span", "back", "ahead"])
+
+    return rows.select("text", "wanted").mapInArrow(run, "span long, back binary, ahead binary")
+
+
+def _reach(text: str, first: int, last: int, words: list[int], back: bytes, ahead: bytes) -> tuple[int, int]:
+    """First word and last word + 1 of a span's occurrence, extended beyond inner cuts as
+    far as the words are those of the span's first occurrence. ``words``: where the words
+    start, and the text's end."""
     mark = lambda k: xxhash.xxh32_digest(text[words[k] : words[k + 1]].split()[0])
-    back, ahead = cut["back"], cut["ahead"]
     k = len(back)
     while k and first and mark(first - 1) == back[k - 4 : k]:
         first, k = first - 1, k - 4
@@ -220,20 +223,23 @@ def _reach(text: str, cut: dict, starts: list[int], words: list[int]) -> tuple[i
 def _without(text: str, cuts: list[dict]) -> tuple[str, int, list[dict]]:
     """What is left of a text, the number of sentences that are gone whole and what was
     removed."""
-    starts, _, inner = _pieces(text)
+    starts, pieces, inner = _pieces(text)
+    _, i, j, _, _ = spans(text)
+    upto = [0, *accumulate(map(len, pieces))]
     words_of = _character if _unspaced(text) else _word
     words = [m.start() for s, e in zip(starts, [*starts[1:], len(text)]) for m in words_of.finditer(text, s, e)]
-    ends = [bisect_left(words, s) for s, cut in zip(starts, inner) if not cut]
+    ends = [w for w, cut in zip(upto, inner) if not cut]
     words.append(len(text))
     stretches: list[list[int]] = []
-    for s, e in sorted(_reach(text, c, starts, words) for c in cuts):
+    reached = (_reach(text, upto[i[c["at"] // 2]], upto[j[c["at"] // 2]], words, c["back"] or b"", c["ahead"] or b"") for c in cuts)
+    for s, e in sorted(reached):
         if stretches and s < stretches[-1][1]:
             stretches[-1][1] = max(e, stretches[-1][1])
         else:
             stretches.append([s, e])
     removed: list[dict] = []
     for s, e in stretches:
-        k = bisect_right(ends, s)
+        k = bisect_right(ends, s)  # the next sentence's first word
         if e - s >= (WORDS if k < len(ends) and ends[k] < e else SENTENCES * WORDS):
             start, end = words[s] if s else 0, words[e]
             if removed and removed[-1]["end"] == start:
@@ -285,11 +291,21 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         again = scratch.keep(found.select(F.explode("span").alias("span")).groupBy("span").agg(F.count("*").alias("n")).filter("n > 1"))
         total = found.agg(F.coalesce(F.sum(F.size("span")), F.lit(0)).alias("n")).first()["n"]
         heavy = heavy_keys(again, "span", total)
-        each = found.select("id", "row", F.explode(F.arrays_zip("i", "j", "span", "back", "ahead")).alias("at")).select("at.span", F.col("id").isNull().alias("none"), "id", "row", "at.i", "at.j", "at.back", "at.ahead")
+        each = found.select("row", F.posexplode(F.arrays_zip("span", "open")).alias("k", "s")).select("s.span", "row", (2 * F.col("k") + F.col("s.open").cast("int")).alias("at"))
         occurrences = scratch.keep(looked_up(each, "span", again.select("span"), heavy))
-        first = scratch.keep(occurrences.groupBy("span").agg(F.min(F.struct("none", "id", "row", "i", "back", "ahead")).alias("first")))
-        later = looked_up(occurrences.select("span", "row", "i", "j"), "span", first, heavy).filter((F.col("row") != F.col("first.row")) | (F.col("i") != F.col("first.i")))
-        cuts = scratch.keep(later.groupBy("row").agg(F.collect_set(F.struct("i", "j", "first.back", "first.ahead")).alias("cuts")))
+        ids = found.select("row", "id", F.col("id").isNull().alias("none")).distinct()
+        place = F.struct("none", "id", "row", "at")
+        first = scratch.keep(occurrences.join(ids, "row").groupBy("span").agg(F.min(place).alias("f")).select("span", F.col("f.row").alias("first_row"), F.col("f.at").alias("first_at")))
+        later = scratch.keep(looked_up(occurrences, "span", first, heavy).filter((F.col("row") != F.col("first_row")) | (F.col("at") != F.col("first_at"))))
+        scratch.drop(again, occurrences)
+        # What first occurrences at inner cuts read beyond them.
+        is_open = F.col("first_at") % 2 == 1
+        wanted = first.filter(is_open).groupBy(F.col("first_row").alias("row")).agg(F.collect_list(F.struct("span", F.col("first_at").alias("at"))).alias("wanted"))
+        edges = scratch.keep(_edges(filled.join(wanted, "row")).groupBy("span").agg(F.first("back").alias("back"), F.first("ahead").alias("ahead")))
+        none = F.lit(None).cast("binary")
+        plain = later.filter(~is_open).select("row", "at", none.alias("back"), none.alias("ahead"))
+        read_on = looked_up(later.filter(is_open), "span", edges, heavy).select("row", "at", "back", "ahead")
+        cuts = scratch.keep(plain.unionByName(read_on).groupBy("row").agg(F.collect_set(F.struct("at", "back", "ahead")).alias("cuts")))
         plan = scratch.keep(found.select("row", "n").distinct().join(cuts, "row", "left"))
         scratch.returned(plan)
     # Both sides are plain tables, so that a row that repeats very often can be split.
