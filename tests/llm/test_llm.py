@@ -271,10 +271,57 @@ def test_sharding(docs, empty, corpus):
     assert sharding.shard(empty).count() == 0
 
 
-def test_shards_as_files(spark, docs, tmp_path):
-    sharding.write_shards(docs, str(tmp_path / "out"), n_shards=3)
+def test_shards_do_not_depend_on_partitions(spark, docs):
+    slots = []
+    for n in (4, 16, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        out = sharding.shard(docs, n_shards=3, bucket_bytes=3000)
+        slots.append(bag((r["doc_id"], r["shard"], r["slot"]) for r in out.select("payload.doc_id", "shard", "slot").collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert slots[0] == slots[1] == slots[2]
+
+
+def test_shards_as_files(spark, tmp_path):
+    """Many buckets, a third of the rows without an id, and 5,000 equal rows."""
+    rows = [(i, f"text {i} " * (i % 50)) for i in range(5000)] + [(None, f"none {i}") for i in range(5000)] + [(7, "again and again")] * 5000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("__shard", F.lit(1)).repartition(3)
+    made = sharding.shard(df, n_shards=4, bucket_bytes=20_000)
+    held = made.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.sum("size").alias("bytes"), F.countDistinct("shard").alias("shards"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count("*").alias("n")).collect()
+    assert len(held) > 20 and all(r["bytes"] < 30_000 and r["shards"] == 1 and r["hi"] - r["lo"] + 1 == r["n"] for r in held)
+    slots = defaultdict(dict)
+    for r in made.select("payload.doc_id", "payload.text", "shard", "slot").collect():
+        slots[r["shard"]][r["slot"]] = (r["doc_id"], r["text"])
+    assert bag(x for s in slots.values() for x in s.values()) == bag(rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # Shuffled: neighbours in a shard are no neighbours in the input.
+    none = [s[k][1] for s in slots.values() for k in sorted(s) if s[k][0] is None]
+    assert len(none) == 5000 and sum(int(b.split()[1]) == int(a.split()[1]) + 1 for a, b in zip(none, none[1:])) < 50
+    sharding.write_shards(df, str(tmp_path / "out"), n_shards=4, bucket_bytes=20_000)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == docs.count() and back.select("__shard").distinct().count() == 3
+    assert bag(map(tuple, back.select("doc_id", "text").collect())) == bag(rows) and back.select("___shard").distinct().count() == 4
+    import pyarrow.parquet as pq
+
+    for k, want in slots.items():
+        files = [pq.read_table(f, columns=["doc_id", "text"], partitioning=None).to_pydict() for f in sorted((tmp_path / "out" / f"___shard={k}").glob("*.parquet"))]
+        assert [x for f in files for x in zip(f["doc_id"], f["text"])] == [want[s] for s in sorted(want)]
+
+
+def test_sharding_query(spark):
+    """The query's own columns against the contract."""
+    import zlib
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    out = sharding.op3_sharding(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    rows = out.collect()
+    assert len(rows) == len(texts)
+    slots = defaultdict(list)
+    for r in rows:
+        text = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(text) + 16, zlib.crc32(text), "key")
+        assert 0 <= r["shard"] < 40 and r["grown_shard"] in (r["shard"], 40)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 # --------------------------------------------------------------------------
@@ -562,7 +609,7 @@ def test_served_rows(docs):
 
 
 def test_native_operators_have_no_python(docs):
-    for df in (mixing.mix(docs), sharding.shard(docs, carry=[F.col("doc_id")])):
+    for df in (mixing.mix(docs), sharding.shard(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
