@@ -2,33 +2,28 @@
 
 Each source's documents stand in a seeded random order and may be served twice. A
 document's virtual finish time is its source's running word count up to and with
-it, divided by the source's target; the mix serves documents by that time until
-the total budget is spent. All sources then run out of budget at the same time.
+it, divided by the source's target; services are range-sorted by that time over all
+sources and truncated where the total budget is spent. All sources then run out of
+budget at the same time.
 
-Nothing is gathered by source: running sums go by ranges of the random order
-(sums of the ranges first, then within each), and the place where the budget ends
-is found among ranges of the virtual time, of which only the last one served in
-part is sorted row by row; the ranges before it are served whole.
+Nothing is gathered by source: both orders (a source's random one, the one by virtual
+time) are range partitions of the whole table, whose bounds may part rows that agree in
+all but their place. Sums of the ranges come first, then running sums within each. What
+is sorted in one task is one range; over ranges there is one line each.
 
 Defined results: a null text has no words; a null source is a source of its own,
-after all others; rows that agree in all columns may be served in either order,
-which changes nothing; an empty table gives an empty result; further columns are
-not read.
+after all others; rows that agree in id and text are served one by one like any others;
+documents without words take nothing; an empty table gives an empty result; further
+columns are not read.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
-from ._common import fresh, n_words, read
-
-#: Rows a range holds on average, and the largest number of ranges (per source, and of time).
-RANGE_ROWS = 256
-MOST_RANGE_BITS = 16
+from ..session import Scratch
+from ._common import n_words, read
 
 
 def _weight(place: Column, weights: tuple[float, ...]) -> Column:
@@ -43,7 +38,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, m
     times its source stays there and the others share the rest. So each target is
     the lesser of its cap and its weight times a common level. With sources by
     rising cap per weight, the level that would hold if all before were capped is
-    highest where it is right.
+    highest where it is right. A window over all sources runs in one task, which holds a
+    line a source.
     """
     sums = sized.groupBy("src").agg(F.sum("size").alias("source_size"), F.max("source").alias("source"))
     every = Window.partitionBy()
@@ -60,6 +56,77 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, m
     )
 
 
+def _sized(df: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    source, text = F.col(source_col), F.col(text_col)
+    return df.select(
+        F.col(id_col).alias("id"),
+        source.alias("source"),
+        F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source)).alias("src"),
+        n_words(text).alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col), text).alias("key"),
+        F.monotonically_increasing_id().alias("place"),
+        *more,
+    )
+
+
+def _ranged(df: DataFrame, *order: str) -> DataFrame:
+    """The rows by ranges of an order, with their range's number. To be kept at once."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id())
+
+
+def _end(services: DataFrame, budget: float):
+    """The last service in the order of ``at``, ``src``, ``key``, ``place`` that the
+    budget still pays, as a row; None if it pays all, and () if it pays none."""
+    before, last = 0, None
+    for r in services.groupBy("range").agg(F.sum("size").alias("words")).orderBy("range").collect():  # a line a range
+        if before + r["words"] > budget:
+            last = r["range"]
+            break
+        before += r["words"]
+    if last is None:
+        return None
+    place = F.struct("at", "src", "key", "place")
+    upto = F.sum("size").over(Window.partitionBy("range").orderBy("at", "src", "key", "place").rowsBetween(Window.unboundedPreceding, 0))
+    inside = services.filter(F.col("range") == last).withColumn("upto", upto + before).filter(F.col("upto") <= budget)
+    for paid in (inside, services.filter(F.col("range") < last)):
+        if end := paid.agg(F.max(place).alias("end")).first()["end"]:
+            return end
+    return ()
+
+
+def _served(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """The columns of ``sized``, ``source_size``, ``target``, ``finish``, ``times``."""
+    if not 0 < share <= most <= 2 or min(weights) <= 0:
+        raise ValueError("weights are positive, and 0 < share <= most <= 2")
+    words = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()["words"]
+    # Running words by source: sums of ranges of the random order, then within each.
+    ordered = scratch.keep(_ranged(sized.select("id", "source", "src", "size", "key", "place"), "src", "key", "place"))
+    targets = source_targets(sized, weights, share, most)
+    by_range = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ordered.groupBy("src", "range").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(by_range), F.lit(0))).drop("words").join(targets, "src")
+    within = Window.partitionBy("src", "range").orderBy("key", "place").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("before") + F.col("within")
+    timed = scratch.keep(
+        ordered.withColumn("within", F.sum("size").over(within))
+        .join(offsets, ["src", "range"])
+        .withColumn("finish", F.when(F.col("target") > 0, upto / F.col("target")))
+        .withColumn("again", F.when(F.col("target") > 0, (upto + F.col("source_size")) / F.col("target")))
+        .select("id", "source", "src", "size", "key", "place", "source_size", "target", "finish", "again")
+    )
+    services = timed.filter("size > 0").select("src", "size", "key", "place", F.explode(F.array("finish", "again")).alias("at")).filter("at is not null")
+    end = _end(scratch.keep(_ranged(services, "at", "src", "key", "place")), share * words)
+    scratch.returned(timed)
+
+    def paid(at: str) -> Column:
+        if end is None or end == ():
+            return (F.col(at).isNotNull() & F.lit(end is None)).cast("int")
+        place = F.struct(F.col(at).alias("at"), "src", "key", "place")
+        return F.coalesce((place <= F.struct(*(F.lit(end[c]).alias(c) for c in ("at", "src", "key", "place")))).cast("int") * F.col(at).isNotNull().cast("int"), F.lit(0))
+
+    return timed.withColumn("times", paid("finish") + paid("again")).drop("again")
+
+
 def mix(
     df: DataFrame,
     weights: tuple[float, ...] = (3, 1, 2),
@@ -74,97 +141,21 @@ def mix(
     service's virtual time), ``times`` (services), ``taken`` (words served) and
     ``key`` (seeded hash of id and text) of every row; ``most`` is at most 2, as a
     document is served twice at most."""
-    if not 0 < share <= most <= 2 or min(weights) <= 0:
-        raise ValueError("weights are positive, and 0 < share <= most <= 2")
-    source, text = F.col(source_col), F.col(text_col)
-    sized = durable(
-        df.select(
-            F.col(id_col).alias("id"),
-            source.alias("source"),
-            F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source)).alias("src"),
-            n_words(text).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col), text).alias("key"),
-        )
-    )
-    total = sized.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
-    bits = min(MOST_RANGE_BITS, max(0, math.ceil(math.log2(max(1, total["rows"] / RANGE_ROWS)))))
-    budget = share * total["words"]
-
-    # Running words by source: sums of ranges of the random order, then within each.
-    ranged = sized.withColumn("range", F.shiftright("key", 64 - bits) if bits else F.lit(0).cast("long"))
-    targets = source_targets(sized, weights, share, most)
-    by_range = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("src", "range")
-        .agg(F.sum("size").alias("words"))
-        .withColumn("before", F.coalesce(F.sum("words").over(by_range), F.lit(0)))
-        .drop("words")
-        .join(targets, "src")
-    )
-    within = Window.partitionBy("src", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    served = F.col("before") + F.col("within")
-    timed = durable(
-        ranged.withColumn("within", F.sum("size").over(within))
-        .join(offsets, ["src", "range"])
-        .withColumn("finish", F.when(F.col("target") > 0, served / F.col("target")))
-        .withColumn("again", F.when(F.col("target") > 0, (served + F.col("source_size")) / F.col("target")))
-        .select("id", "source", "src", "size", "key", "source_size", "target", "finish", "again")
-    )
-
-    # Where the budget ends: ranges of virtual time, then row by row in one of them.
-    steps = 1 << bits
-    step = F.least(F.floor(F.col("at") * steps), F.lit(2 * steps)).alias("step")
-    services = timed.select("src", "size", "key", F.explode(F.array("finish", "again")).alias("at")).filter("at is not null")
-    in_order = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        services.groupBy(step)
-        .agg(F.sum("size").alias("words"))
-        .withColumn("upto", F.sum("words").over(in_order))
-        .filter(F.col("upto") > budget)
-        .orderBy("step")
-        .select("step", (F.col("upto") - F.col("words")).alias("before"))
-        .first()
-    )
-    if last is None:
-        times = F.when(F.col("finish").isNotNull(), 2).otherwise(0)
-    else:
-        row = Window.orderBy("at", "src", "key").rowsBetween(Window.unboundedPreceding, 0)
-        end = (
-            services.filter(step == last["step"])
-            .withColumn("upto", F.sum("size").over(row) + last["before"])
-            .filter(F.col("upto") <= budget)
-            .agg(F.max(F.struct("at", "src", "key")).alias("end"))
-            .first()["end"]
-        )
-        if end is None:  # the ranges before are all
-            inside = lambda at: F.floor(F.col(at) * steps) < last["step"]
-        else:
-            inside = lambda at: (
-                (F.col(at) < end["at"])
-                | ((F.col(at) == end["at"]) & ((F.col("src") < end["src"]) | ((F.col("src") == end["src"]) & (F.col("key") <= end["key"]))))
-            )
-        times = F.coalesce(inside("finish").cast("int"), F.lit(0)) + F.coalesce(inside("again").cast("int"), F.lit(0))
-    return timed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "finish", times.alias("times"), (F.col("size") * times).cast("long").alias("taken"), "key")
+    with Scratch(df.sparkSession) as scratch:
+        timed = _served(scratch.keep(_sized(df, seed, id_col, text_col, source_col)), scratch, weights, share, most)
+    return timed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "finish", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"), "key")
 
 
 def serve(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row as often as it is served, with the columns it came with."""
-    key, source, copies, times, turn = fresh(df, "key", "source", "copies", "times", "turn")
-    mixed = mix(df, weights, share, most, seed, id_col, text_col, source_col)
-    by_key = [key, source]
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(source)
-    # Rows that agree in all three share their services evenly.
-    served = mixed.groupBy(F.col("key").alias(key), name(source_col)).agg(F.sum("times").alias(times), F.count("*").alias(copies)).filter(F.col(times) > 0)
-    keyed = df.select("*", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias(key), name(source_col))
-    own = F.floor(F.col(times) / F.col(copies)) + (F.col(turn) <= F.col(times) % F.col(copies)).cast("int")
-    return (
-        keyed.join(durable(served), by_key)
-        .withColumn(turn, F.row_number().over(Window.partitionBy(*by_key).orderBy(*by_key)))
-        .withColumn(times, own.cast("int"))
-        .filter(F.col(times) > 0)
-        .withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times))))
-        .select(*df.columns)
-    )
+    """The mix itself: each row as often as it is served, with the columns it came with.
+    The rows are written with their places first, by which their services find them."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("payload")
+    with Scratch(df.sparkSession) as scratch:
+        records = scratch.keep(_sized(df, seed, id_col, text_col, source_col, whole))
+        timed = _served(records, scratch, weights, share, most)
+        scratch.returned(records)
+    served = timed.filter("times > 0").select("place", "times")
+    return records.select("place", "payload").join(served, "place").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select("payload.*")
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -586,19 +586,43 @@ def test_mixing_against_a_queue(spark):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), "abc"[i % 3]) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     out = mixing.mix(df).collect()
-    queue = sorted([(f, r["source"], r["key"], r["doc_id"], r["size"]) for r in out for f in (r["finish"], r["finish"] + r["source_size"] / r["target"])])
+    # Whole running words, from which both virtual times follow exactly.
+    served = lambda r: round(r["finish"] * r["target"])
+    queue = sorted([(f / r["target"], r["source"], r["key"], r["doc_id"], r["size"]) for r in out for f in (served(r), served(r) + r["source_size"])])
     spent, times = 0, Counter()
-    for f, _, _, doc_id, size in queue:
+    for _, _, _, doc_id, size in queue:
         if spent + size > 1.5 * sum(r["size"] for r in out):
             break
         spent += size
         times[doc_id] += 1
-    assert sum(abs(r["taken"] - times[r["doc_id"]] * r["size"]) for r in out) <= 80
+    assert all(r["times"] == times[r["doc_id"]] and r["taken"] == r["times"] * r["size"] for r in out)
     targets = {r["source"]: r["target"] for r in out}
     for s, t in targets.items():
         assert abs(sum(r["taken"] for r in out if r["source"] == s) - t) <= 80
 
 
+def test_mixing_rows_that_repeat(spark):
+    """Thousands of equal rows, rows without words, and a budget that pays nothing."""
+    rows = [(7, "a b c", "x")] * 3000 + [(None, None, None)] * 2000 + [(i, "w " * (i % 9), "xy"[i % 2]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    out = mixing.mix(df).collect()
+    sizes = Counter()
+    for r in out:
+        sizes[r["source"]] += r["size"]
+        assert r["taken"] <= 2 * r["size"]
+    want = brute_targets(sizes, (3, 1, 2), 1.5, 2.0)
+    for s in sizes:
+        assert abs(sum(r["taken"] for r in out if r["source"] == s) - want[s]) <= 18
+    assert sorted(r["finish"] * r["target"] for r in out if r["doc_id"] == 7 and r["size"] == 3)[::2999] != [0.0, 0.0]
+    taken = Counter()
+    for r in out:
+        taken[r["doc_id"]] += r["times"]
+    assert Counter(r["doc_id"] for r in mixing.serve(df).collect()) == +taken
+    one = spark.createDataFrame([(1, "a b c d", "x")], "doc_id bigint, text string, source string")
+    assert mixing.mix(one, share=0.5).collect()[0]["taken"] == 0 and mixing.serve(one, share=0.5).count() == 0
+    assert mixing.mix(one, share=2.0).collect()[0]["taken"] == 8
+
+
 def test_served_rows(docs):
     times = Counter()
     for r in mixing.mix(docs).collect():
