@@ -58,6 +58,21 @@ def freeing_shuffles(spark: SparkSession):
         spark.conf.set(_FREE_SHUFFLES, before)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_ends(spark: SparkSession):
+    """When the block ends, all scratch tables made within it go, those that results
+    still read included: for callers that have written these results."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            delete(spark, folder)
+
+
 class Scratch:
     """The tables of an operator's steps: Parquet in the shared folder.
 
@@ -72,6 +87,8 @@ class Scratch:
         self.folder = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.paths: dict[int, tuple[DataFrame, str]] = {}
         self.needed: set[int] = set()
+        for scope in _scopes:
+            scope.append(self.folder)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
