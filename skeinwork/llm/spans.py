@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from itertools import accumulate
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -66,56 +66,62 @@ _word = re.compile(r"\S+")
 _character = re.compile(rf"[{_SCRIPTS}]|[^\s{_SCRIPTS}]+")
 
 
-def _closing(words: list[str], far: int) -> list[int]:
+def _closing(words: list[str]) -> list[int]:
     """Places of a sentence's words that close a piece inside it."""
     n = len(words)
-    if n <= 2 * far:
+    if n <= 2 * FAR:
         return []
-    lo = far - NEAR
+    lo = FAR - NEAR
     h = [xxhash.xxh64_intdigest(w) for w in words[lo : n - lo]]
     out = []
     for k in range(NEAR, len(h) - NEAR):
         x = h[k]
-        if x == min(h[k - NEAR : k + NEAR + 1]) and x not in h[k - NEAR : k]:
+        # The first comparison spares most of the others.
+        if h[k - 1] > x <= h[k + 1] and x < min(h[k - NEAR : k]) and x <= min(h[k + 1 : k + NEAR + 1]):
             out.append(lo + k)
     return out
 
 
-def _pieces(text: str, far: int = FAR) -> tuple[list[int], list[list[str]], list[bool]]:
-    """Starts and words of a text's sentences, and whether each starts at an inner cut.
-    A sentence reaches to the next one's start (the first from 0, the last to the end),
-    so that they tile the text; parts without words belong to the one before."""
-    words_of = _character if _unspaced(text) else _word
-    plain = words_of is _word
-    starts, pieces, inner = [], [], []
+#: How a piece starts: with its sentence, at an inner cut, or at one that parts a very
+#: long sentence for the counts, too.
+WHOLE, INNER, COUNTED = 0, 1, 2
+
+
+def _pieces(text: str) -> tuple[list[int], list[list[str]], list[int]]:
+    """Starts, words and kinds of a text's pieces. A piece reaches to the next one's
+    start (the first from 0, the last to the end), so that they tile the text; parts
+    without words belong to the one before."""
+    words_of = _character if not text.isascii() and _unspaced(text) else None
+    starts, pieces, kinds = [], [], []
     at = 0
     for end in [*(m.end() for m in _ends.finditer(text)), len(text)]:
         part = text[at:end]
-        words = part.split() if plain else words_of.findall(part)
+        words = words_of.findall(part) if words_of else part.split()
         if words:
-            closing = _closing(words, far)
             starts.append(at)
-            inner.append(False)
+            kinds.append(WHOLE)
+            closing = _closing(words)
             if closing:
-                where = [at + m.start() for m in words_of.finditer(part)]
-                lo = 0
+                where = [at + m.start() for m in (words_of or _word).finditer(part)]
+                lo, n = 0, len(words)
                 for c in closing:
                     pieces.append(words[lo : c + 1])
                     lo = c + 1
                     starts.append(where[lo])
-                    inner.append(True)
+                    kinds.append(COUNTED if WORDS <= c < n - WORDS else INNER)
                 words = words[lo:]
             pieces.append(words)
         at = end
     if starts:
         starts[0] = 0
-    return starts, pieces, inner
+    return starts, pieces, kinds
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence with the white space after it; they tile the text."""
-    starts, _, _ = _pieces(text, WORDS)
-    return list(zip(starts, [*starts[1:], len(text)]))
+    starts, _, kinds = _pieces(text)
+    counted = [s for s, k in zip(starts, kinds) if k != INNER]
+    return list(zip(counted, [*counted[1:], len(text)]))
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -128,32 +134,40 @@ _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def spans(text: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of sentences; of each span its first sentence, last sentence + 1, hash, and
-    whether it starts or ends at an inner cut."""
-    _, pieces, inner = _pieces(text)
+def _runs(pieces: list[list[str]], kinds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First piece and last piece + 1 of each span, and whether it starts or ends at an
+    inner cut."""
     n = len(pieces)
     upto = np.zeros(n + 1, dtype=np.int64)
     np.cumsum([len(p) for p in pieces], out=upto[1:])
     if n < SENTENCES or upto[-1] < INNER_WORDS:
         none = np.zeros(0, dtype=np.int64)
-        return len(_pieces(text, WORDS)[0]) if any(inner) else n, none, none, none, none.astype(bool)
+        return none, none, none.astype(bool)
     at = np.arange(n + 1)
-    least = np.where([*inner, False], INNER_WORDS, WORDS)
+    inner = np.array([*kinds, WHOLE]) != WHOLE
+    least = np.where(inner, INNER_WORDS, WORDS)
     # The shortest from every start on, and the shortest up to every end.
     end = np.maximum(np.searchsorted(upto, upto + least), at + SENTENCES)
     start = np.minimum(np.searchsorted(upto, upto - least, side="right") - 1, at - SENTENCES)
     runs = np.unique(np.concatenate([at[end <= n] * (n + 1) + end[end <= n], start[start >= 0] * (n + 1) + at[start >= 0]]))
     i, j = runs // (n + 1), runs % (n + 1)
+    return i, j, inner[i] | inner[j]
+
+
+def spans(text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of sentences; of each span its hash, and whether it is at an inner cut."""
+    _, pieces, kinds = _pieces(text)
+    i, j, inner = _runs(pieces, kinds)
+    n = len(pieces)
+    if not len(i):
+        return n - kinds.count(INNER), i, inner
     # Polynomials in the sentences' hashes, modulo 2**64.
     own = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(p)) for p in pieces), dtype=np.uint64, count=n)
     before = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(own * _powers(_BASE, n), out=before[1:])
     key = (before[j] - before[i]) * _powers(_INVERSE, n)[i]
     key = (key ^ (key >> np.uint64(33)) ^ (j - i).astype(np.uint64)) * _MIX
-    cut = np.array([*inner, False])
-    n = len(_pieces(text, WORDS)[0]) if cut.any() else n
-    return n, i, j, (key ^ (key >> np.uint64(29))).view(np.int64), cut[i] | cut[j]
+    return n - kinds.count(INNER), (key ^ (key >> np.uint64(29))).view(np.int64), inner
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -171,7 +185,7 @@ def _found(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                n, _, _, span, inner = zip(*map(spans, part.column("text").to_pylist()))
+                n, span, inner = zip(*map(spans, part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(n, pa.int32()), arrays(span), arrays(inner)], names=schema.names)
 
     return docs.select("id", "row", "text").mapInArrow(run, schema)
@@ -191,7 +205,7 @@ def _edges(rows: DataFrame) -> DataFrame:
                 out = []
                 for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
                     _, pieces, inner = _pieces(text)
-                    _, i, j, _, _ = spans(text)
+                    i, j, _ = _runs(pieces, inner)
                     for w in wanted:
                         lo = first = int(i[w["at"] // 2])
                         while inner[lo] and first - lo < EDGE_PIECES:
@@ -206,16 +220,14 @@ def _edges(rows: DataFrame) -> DataFrame:
     return rows.select("text", "wanted").mapInArrow(run, "span long, back binary, ahead binary")
 
 
-def _reach(text: str, first: int, last: int, words: list[int], back: bytes, ahead: bytes) -> tuple[int, int]:
+def _reach(first: int, last: int, words: list[str], back: bytes, ahead: bytes) -> tuple[int, int]:
     """First word and last word + 1 of a span's occurrence, extended beyond inner cuts as
-    far as the words are those of the span's first occurrence. ``words``: where the words
-    start, and the text's end."""
-    mark = lambda k: xxhash.xxh32_digest(text[words[k] : words[k + 1]].split()[0])
+    far as the words are those of the span's first occurrence."""
     k = len(back)
-    while k and first and mark(first - 1) == back[k - 4 : k]:
+    while k and first and xxhash.xxh32_digest(words[first - 1]) == back[k - 4 : k]:
         first, k = first - 1, k - 4
     k = 0
-    while k < len(ahead) and last < len(words) - 1 and mark(last) == ahead[k : k + 4]:
+    while k < len(ahead) and last < len(words) and xxhash.xxh32_digest(words[last]) == ahead[k : k + 4]:
         last, k = last + 1, k + 4
     return first, last
 
@@ -223,15 +235,24 @@ def _reach(text: str, first: int, last: int, words: list[int], back: bytes, ahea
 def _without(text: str, cuts: list[dict]) -> tuple[str, int, list[dict]]:
     """What is left of a text, the number of sentences that are gone whole and what was
     removed."""
-    starts, pieces, inner = _pieces(text)
-    _, i, j, _, _ = spans(text)
+    starts, pieces, kinds = _pieces(text)
+    i, j, _ = (x.tolist() for x in _runs(pieces, kinds))
     upto = [0, *accumulate(map(len, pieces))]
-    words_of = _character if _unspaced(text) else _word
-    words = [m.start() for s, e in zip(starts, [*starts[1:], len(text)]) for m in words_of.finditer(text, s, e)]
-    ends = [w for w, cut in zip(upto, inner) if not cut]
-    words.append(len(text))
+    words = list(chain.from_iterable(pieces))
+    words_of = _character if not text.isascii() and _unspaced(text) else _word
+
+    def offset(word: int) -> int:
+        """Where a word starts in the text; for the number of words its end."""
+        if word == len(words):
+            return len(text)
+        k = bisect_right(upto, word) - 1
+        if word == upto[k]:
+            return starts[k]
+        return next(islice(words_of.finditer(text, starts[k]), word - upto[k], None)).start()
+
+    ends = [w for w, kind in zip(upto, kinds) if kind == WHOLE]
     stretches: list[list[int]] = []
-    reached = (_reach(text, upto[i[c["at"] // 2]], upto[j[c["at"] // 2]], words, c["back"] or b"", c["ahead"] or b"") for c in cuts)
+    reached = {_reach(upto[i[c["at"] // 2]], upto[j[c["at"] // 2]], words, c["back"] or b"", c["ahead"] or b"") for c in cuts}
     for s, e in sorted(reached):
         if stretches and s < stretches[-1][1]:
             stretches[-1][1] = max(e, stretches[-1][1])
@@ -241,14 +262,17 @@ def _without(text: str, cuts: list[dict]) -> tuple[str, int, list[dict]]:
     for s, e in stretches:
         k = bisect_right(ends, s)  # the next sentence's first word
         if e - s >= (WORDS if k < len(ends) and ends[k] < e else SENTENCES * WORDS):
-            start, end = words[s] if s else 0, words[e]
+            start, end = offset(s), offset(e)
             if removed and removed[-1]["end"] == start:
                 removed[-1]["end"] = end
             else:
                 removed.append({"start": start, "end": end})
+    if not removed:
+        return text, 0, []
     kept = [0, *(x for r in removed for x in (r["start"], r["end"])), len(text)]
     n, k = 0, 0
-    for s, e in sentences(text):
+    counted = [s for s, kind in zip(starts, kinds) if kind != INNER]
+    for s, e in zip(counted, [*counted[1:], len(text)]):
         while k < len(removed) and removed[k]["end"] < e:
             k += 1
         n += k < len(removed) and removed[k]["start"] <= s
