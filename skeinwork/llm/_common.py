@@ -49,11 +49,12 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
-def map_batches(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
+def map_batches(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[dict], dict]], reads: list[str] | None = None) -> DataFrame:
     """Run a per-batch function over Arrow batches.
 
-    ``make()`` is called once a task and returns the function from a dict of
-    Python lists (one a column) to a dict of lists or arrays of the same length.
+    ``make()`` is called once a task and returns the function from a dict of Python
+    lists (of the columns that it ``reads``, else of all) to a dict of lists or arrays of
+    the same length. Columns that it does not return pass through as they are.
     """
     names = [f.name for f in schema.fields]
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -67,8 +68,9 @@ def map_batches(df: DataFrame, schema: T.StructType, make: Callable[[], Callable
                 continue
             work = work or make()
             for part in slices(batch):
-                out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], names=names)
+                own = dict(zip(part.schema.names, part.columns))
+                out = work({n: c.to_pylist() for n, c in own.items() if reads is None or n in reads})
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) if n in out else own[n].cast(arrow.field(n).type) for n in names], names=names)
 
     return df.mapInArrow(run, schema)
 

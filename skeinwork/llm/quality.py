@@ -7,6 +7,10 @@ often each rule is right for good and for bad texts, and the share of good ones.
 A row's verdict is its posterior probability of being good. The base rules stay
 absolute: a row that fails one is out.
 
+Two rules look at letters: a capital is one of A-Z or of the Latin-1 capitals, a letter
+any character of a word but digits and the underscore. Combining marks are no letters,
+and a text without spaces has long words; such texts get some bad votes.
+
 Defined results: null text counts as empty, which fails the base rules; rows
 with equal texts get equal verdicts; an empty table gives an empty result;
 columns other than the id and the text are not read.
@@ -22,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import durable
-from ._common import WORD, fresh, map_batches, read
+from ..session import Scratch, freeing_shuffles
+from ._common import WORD, map_batches, read
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_bang", "n_ended", "n_distinct", "n_marked", "n_bare")
@@ -151,47 +155,52 @@ def fit(counts: dict[tuple[int, ...], int], rounds: int = 200, tolerance: float
 KEEP_FROM = 0.5
 
 
-def _with_features(df: DataFrame, text_col: str, names: list[str]) -> DataFrame:
-    """All columns and the counts, under the given names."""
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+def _with_features(df: DataFrame, text_col: str) -> DataFrame:
+    """All columns and the counts."""
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in FEATURES)])
 
     def make():
-        def work(cols):
-            got = list(zip(*(features(x) for x in cols[text_col])))
-            return {**cols, **dict(zip(names, got))}
-
-        return work
+        return lambda cols: dict(zip(FEATURES, zip(*map(features, cols[text_col]))))
 
-    return map_batches(df, schema, make)
+    return map_batches(df, schema, make, [text_col])
 
 
 def _pattern():
     return F.concat_ws(",", *(v.cast("string") for v in rules().values()))
 
 
-def _verdict(counted: DataFrame, keep_from: float):
-    """Column: the posterior of a row's vote pattern is high enough."""
-    tally = {tuple(map(int, r["p"].split(","))): r["n"] for r in counted.groupBy(_pattern().alias("p")).agg(F.count("*").alias("n")).collect()}
-    kept = [",".join(map(str, p)) for p, good in fit(tally).items() if good >= keep_from]
-    return _pattern().isin(kept) if kept else F.lit(False)
+def _judged(counted: DataFrame, keep_from: float) -> DataFrame:
+    """The rows of a kept table with ``base_failed`` and ``kept``: the base rules hold
+    and the posterior of the vote pattern is high enough.
+
+    The driver gets a line a pattern, and sends those that count as good back as a
+    broadcast table: at most 3 ** rules lines, whatever the input."""
+    spark = counted.sparkSession
+    with freeing_shuffles(spark):
+        tally = {tuple(map(int, r["p"].split(","))): r["n"] for r in counted.groupBy(_pattern().alias("p")).agg(F.count("*").alias("n")).collect()}
+    good = [(",".join(map(str, p)), True) for p, share in fit(tally).items() if share >= keep_from]
+    table = spark.createDataFrame(good, "pattern string, good boolean")
+    joined = counted.withColumn("pattern", _pattern()).join(F.broadcast(table), "pattern", "left")
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("good").isNotNull()).drop("pattern", "good")
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """Id, the counts, ``base_failed`` and ``kept`` of every row."""
-    counted = _with_features(df.select(F.col(id_col), F.col(text_col)), text_col, list(FEATURES)).drop(text_col)
-    counted = durable(counted)  # narrow; saves counting all texts again
-    verdict = _verdict(counted, keep_from)
-    return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict)
+    with Scratch(df.sparkSession) as scratch:
+        # Narrow; saves counting all texts again.
+        counted = scratch.keep(_with_features(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").drop("text"))
+        scratch.returned(counted)
+        return _judged(counted, keep_from).withColumnRenamed("id", id_col)
 
 
 def keep_good(df: DataFrame, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows that stay, with the columns they came with."""
-    clash = [c for c in df.columns if c.lower() in FEATURES]
-    names = fresh(df, *clash)
-    inner = df.withColumnsRenamed(dict(zip(clash, names)))
-    counted = _with_features(inner, text_col, list(FEATURES))
-    out = counted.filter(~base_failed() & _verdict(counted.drop(*(c for c in inner.columns if c != text_col)), keep_from))
-    return out.select(*inner.columns).withColumnsRenamed(dict(zip(names, clash)))
+    """The rows that stay, with the columns they came with. The rows are written once
+    with their counts, so that each text is looked at once."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    with Scratch(df.sparkSession) as scratch:
+        counted = scratch.keep(_with_features(df.select(whole.alias("payload"), F.col(text_col).alias("text")), "text").drop("text"))
+        scratch.returned(counted)
+        return _judged(counted, keep_from).filter("kept").select("payload.*")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

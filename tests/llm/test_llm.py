@@ -123,6 +123,26 @@ def test_secrets_of_documents(docs, empty, corpus):
     assert secrets.scan_secrets(empty).count() == secrets.redact_secrets(empty).count() == 0
 
 
+def test_secret_query(spark):
+    """The query's own columns against the contract's patterns, by Python's engine."""
+    patterns = (
+        ("assign", r"""(?a:(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", lambda m: len(m[1]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    )
+    out = {r["doc_id"]: r for r in secrets.op1_secret_scans(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(out) == len(docs)
+    for d in docs:
+        found = [(m.start(), k, m.end(), kind) for k, (kind, p, fits) in enumerate(patterns) for m in re.finditer(p, d["text"] or "") if fits(m)]
+        base = [f"{kind}:{s}:{e}" for s, _, e, kind in sorted(found)]
+        r = out[d["doc_id"]]
+        assert [r[f"n_{k}"] for k, _, _ in patterns] == [sum(b.startswith(f"{k}:") for b in base) for k, _, _ in patterns]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        all_ = r["spans"].split(",") if r["spans"] else []
+        assert [x for x in all_ if x.split(":")[0] in ("assign", "access", "hex")] == base and [int(x.split(":")[1]) for x in all_] == sorted(int(x.split(":")[1]) for x in all_)
+
+
 # --------------------------------------------------------------------------
 
 
@@ -352,6 +372,26 @@ def test_reputation_shrinks_from_the_top(spark):
     assert all(r["bad_low"] < r["bad_share"] for r in out.values())
 
 
+def test_url_hierarchy(spark):
+    """Ports, user info, addresses and suffix rules; the host column stays as it is."""
+    hosts = {
+        "a.bad.com:8080": ("a.bad.com", "bad.com", "com"), "me:pw@bad.com": ("bad.com", "bad.com", "com"), "bad.com.": ("bad.com", "bad.com", "com"), "x.y.co.uk:80": ("x.y.co.uk", "y.co.uk", "co.uk"),
+        "10.0.0.1:99": ("10.0.0.1", "10.0.0.1", ""), "[2001:db8::1]:443": ("[2001:db8::1]", "[2001:db8::1]", ""), "[::1]": ("[::1]", "[::1]", ""), "shop.site.anything.ck": ("shop.site.anything.ck", "site.anything.ck", "anything.ck"),
+        "www.ck": ("www.ck", "www.ck", "ck"), "a.www.ck": ("a.www.ck", "www.ck", "ck"), "co.uk": ("co.uk", "co.uk", "co.uk"), "localhost": ("localhost", "localhost", "localhost"), "": ("", "", ""), "1.2.3.4.5": ("1.2.3.4.5", "4.5", "5"),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").withColumn("name", urls.name_of(F.col("host")))
+    got = df.select("host", "name", urls.domain_of(F.col("name")).alias("domain"), urls.suffix_of(F.col("name")).alias("suffix")).collect()
+    assert {r["host"]: (r["name"], r["domain"], r["suffix"]) for r in got} == hosts
+    rules = ("github.io", "*.kobe.jp", "!city.kobe.jp")
+    own = df.sparkSession.createDataFrame([("a.b.github.io",), ("x.y.z.kobe.jp",), ("x.city.kobe.jp",)], "name string")
+    assert [r[0] for r in own.select(urls.domain_of(F.col("name"), rules)).collect()] == ["b.github.io", "y.z.kobe.jp", "city.kobe.jp"]
+    # What is known of a host on one port counts on another; pages without an id meet no label.
+    pages = spark.createDataFrame([(i, f"http://spam.net:{i % 3}/p") for i in range(60)] + [(None, "http://spam.net:9/q"), (None, None), (70, "http://10.1.1.1/")], "page_id bigint, url string")
+    labels = pages.filter("page_id < 60").select("page_id", F.lit(True).alias("bad"))
+    out = {r["host"]: r["verdict"] for r in urls.judge_urls(pages, labels).collect()}
+    assert out["spam.net:0"] == out["spam.net:9"] == "block" and set(out) == {"spam.net:0", "spam.net:1", "spam.net:2", "spam.net:9", "", "10.1.1.1"}
+
+
 # --------------------------------------------------------------------------
 
 
@@ -779,6 +819,44 @@ def test_pipeline_stages(spark, docs, corpus):
     assert {r["doc_id"] for r in mixed.collect()} <= want
 
 
-def test_pipeline_runs(spark, tmp_path):
+def files_in_checkpoint_dir(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from skeinwork.session import ensure_checkpoint_dir
+
+    top = Path(urlparse(ensure_checkpoint_dir(spark)).path)
+    return {str(p.relative_to(top)) for p in top.glob("*/*")}
+
+
+def test_pipeline_and_operators_leave_only_what_results_need(spark):
+    before = files_in_checkpoint_dir(spark)
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "source", "n_tokens", "ids"] and out.count() > 0
+    left = files_in_checkpoint_dir(spark) - before
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-") and next(iter(left)).endswith("/4")
+    before = files_in_checkpoint_dir(spark)
+    near_duplicates.op6_minhash_near_dedup(spark, "/root/testdata/sf0.001").count()
+    assert len(files_in_checkpoint_dir(spark) - before) == 2  # the documents' nodes and the nodes' components
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Empty, then with clashing names, rows that repeat, nulls and a text of 5 MB."""
+    ddl = DDL + ", payload string, place bigint, row string, pattern string, key bigint"
+    spark.createDataFrame([], ddl).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    long = " ".join(prose(k, 9000) for k in range(110))
+    assert len(long) > 5_000_000
+    texts = [(k, prose(k + 50, 60 + k)) for k in range(30)] + [(40, long), (41, None), (None, None), (42, "")] + [(43, prose(7, 90))] * 5 + [(None, prose(8, 90))] * 5
+    rows = [(d, t, "en", f"s{(d or 0) % 3}" if d != 5 else None, len(t or ""), "p", 1, "r", "q", 2) for d, t in texts]
+    spark.createDataFrame(rows, ddl).repartition(2).write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert {r["doc_id"] for r in out} <= {d for d, _ in texts} - {41, 42} and out
+    import public_tokenizers
+
+    coder = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    by_id = dict(texts)
+    for r in out:
+        assert r["n_tokens"] == len(r["ids"])
+        if r["doc_id"] is not None:
+            assert coder.decode(r["ids"]) == by_id[r["doc_id"]]
