@@ -26,6 +26,8 @@ class Bound:
     nullable: bool
     col: Column
     enum: tuple = ()
+    #: The value of a constant that later checks look at.
+    constant: object = None
 
     def attribute(self) -> Attribute:
         return Attribute(self.name, self.type, self.nullable, self.enum)

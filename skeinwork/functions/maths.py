@@ -69,10 +69,14 @@ def _keeping(what, step):
     return unary(what, NUMERIC, lambda kind: kind, make)
 
 
+#: The double below 0.5. Adding it moves halves, and nothing less, to the next whole number.
+_BELOW_HALF = 0.49999999999999994
+
+
 def _away(x: Column) -> Column:
-    """Half away from zero, exactly: 0.49999999999999994 is 0."""
-    low = F.floor(F.abs(x))
-    return F.signum(x) * F.when(F.abs(x) - low >= 0.5, low + 1).otherwise(low)
+    """Half away from zero, exactly: 0.49999999999999994 is 0. One reference to the
+    argument but for the sign, as Spark inlines it at each."""
+    return F.signum(x) * F.floor(F.abs(x) + _BELOW_HALF)
 
 
 Round = _keeping("ROUND", _away)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import fail
 from ..types import BOOL, STRING
-from .core import Bound, Expr, single, unary, want
+from .core import Bound, Expr, evaluation_error, single, unary, want
 
 #: Only ``\n`` ends a line.
 _FLAGS = "(?d)"
@@ -36,17 +36,25 @@ def RegexpFullMatch(e: Expr, pattern: str) -> Expr:
     return unary("REGEXP_FULL", {STRING}, BOOL, lambda x: x.rlike(p))(e)
 
 
-def _java_replacement(new: Column) -> Column:
-    r"""``\1`` becomes ``$1``; ``$`` is a plain character."""
-    return F.regexp_replace(F.replace(new, F.lit("$"), F.lit(r"\$")), r"\\([0-9])", r"\$$1")
+def _java_replacement(new: Column, groups: int) -> Column:
+    r"""``\1`` becomes ``$1``; ``$`` is a plain character. A number beyond the pattern's
+    groups fails the query with the engine's own error."""
+    beyond = rf"\\[{groups + 1}-9]" if groups < 9 else "(?!)"
+    java = F.regexp_replace(F.replace(new, F.lit("$"), F.lit(r"\$")), r"\\([0-9])", r"\$$1")
+    return F.when(new.rlike(beyond), evaluation_error(f"the replacement names a group beyond the pattern's {groups}", "string")).otherwise(java)
 
 
 def RegexpReplace(e: Expr, pattern: str, new: Expr) -> Expr:
-    p = _FLAGS + checked(pattern)
+    r"""All matches replaced. ``\0`` to ``\9`` in ``new`` stand for groups: a constant that
+    names more than the pattern has is refused when it is bound, a column's value fails
+    the query."""
+    p, groups = _FLAGS + checked(pattern), re.compile(pattern).groups
 
     def resolve(s):
         x, y = want(e.one(s), {STRING}, "REGEXP_REPLACE"), want(new.one(s), {STRING}, "REGEXP_REPLACE")
-        return Bound(f"REGEXP_REPLACE({x.name}, {y.name})", STRING, x.nullable or y.nullable, F.regexp_replace(x.col, F.lit(p), _java_replacement(y.col)))
+        if y.constant is not None and any(int(n) > groups for n in re.findall(r"\\([0-9])", y.constant)):
+            fail("ERROR_INVALID_ARGUMENT_VALUE", f"{y.constant!r} names a group beyond the pattern's {groups}")
+        return Bound(f"REGEXP_REPLACE({x.name}, {y.name})", STRING, x.nullable or y.nullable, F.regexp_replace(x.col, F.lit(p), _java_replacement(y.col, groups)))
 
     return single(resolve)
 

@@ -19,7 +19,7 @@ def _constant(kind: DataType, low=None, high=None):
     def build(value) -> Expr:
         if low is not None and not low <= value < high:
             fail("ERROR_INVALID_ARGUMENT_VALUE", f"{value} is no {kind.name}")
-        return single(lambda s: Bound(f"CONST_{kind.name}", kind, False, F.lit(value).cast(kind.spark)))
+        return single(lambda s: Bound(f"CONST_{kind.name}", kind, False, F.lit(value).cast(kind.spark), constant=value))
 
     return build
 

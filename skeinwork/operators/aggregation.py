@@ -11,8 +11,10 @@ from ..errors import fail
 from ..functions.core import Bound, attribute_column
 from ..functions.strings import text_of
 from ..types import BINARY, BOOL, DATE, DATETIME, ENUM, INT64, INTEGERS, NUMERIC, STRING, DataType, Schema, fit, schema_of
-from .ordinals import PART, PLACE, _changed, numbered_segments, parted
+from .ordinals import PART, PLACE, _changed, numbered_segments, parted, refuse_reserved
 
+#: More limited keys than this are joined as Spark sees fit.
+MOST_BROADCAST_KEYS = 10_000
 SUM, MIN, MAX, COUNT, CONCAT, FIRST, LAST = "SUM", "MIN", "MAX", "COUNT", "CONCAT", "FIRST", "LAST"
 
 
@@ -103,6 +105,7 @@ def _aggregate(part: Aggregation, schema: Schema, order: list[Column] | None) ->
 
 def _bind(df: DataFrame, keys: list[str], spec: AggregationSpecification, order):
     schema = schema_of(df)
+    refuse_reserved(*df.columns, *(p.output for p in spec.parts))
     key_attributes = [schema[k] for k in keys]
     made = [_aggregate(p, schema, order) for p in spec.parts]
     Schema([*key_attributes, *(b.attribute() for b, _ in made)])
@@ -123,7 +126,7 @@ def group_aggregate(df: DataFrame, keys: list[str], spec: AggregationSpecificati
     if not made:
         return df.select(*keys).distinct()
     if not keys:
-        return df.agg(*_named(made), F.count("*").alias("__n")).filter("__n > 0").drop("__n")
+        return df.agg(*_named(made), F.count("*").alias("__skeinwork_n")).filter("__skeinwork_n > 0").drop("__skeinwork_n")
     if max_unique_keys is not None:
         df = _limited(df, keys, max_unique_keys, order_by)
     return df.groupBy(*keys).agg(*_named(made))
@@ -133,17 +136,37 @@ def _limited(df: DataFrame, keys: list[str], most: int, order) -> DataFrame:
     """Rows of the keys beyond the first ``most`` get the key after these. Only
     ``most + 1`` keys are gathered."""
     place = _ordered(order, "max_unique_keys")
-    first = df.groupBy(*keys).agg(F.min(place).alias("__first")).orderBy("__first").limit(most + 1)
-    kept = first.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__first")
-    last = first.orderBy(F.col("__first").desc()).limit(1).select(F.struct(*keys).alias("__other"), F.col("__first").alias("__last"))
-    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    # Both tables have at most most + 1 rows.
-    joined = df.join(F.broadcast(kept), on, "left").join(F.broadcast(last), F.lit(True), "left")
-    return joined.withColumns({k: F.when(F.col("__first").isNotNull(), F.col(k)).otherwise(F.col(f"__other.{k}")) for k in keys}).drop("__other", "__last", "__first", *(f"__k{i}" for i in range(len(keys))))
+    first = df.groupBy(*keys).agg(F.min(place).alias("__skeinwork_first")).orderBy("__skeinwork_first").limit(most + 1)
+    kept = first.select(*(F.col(k).alias(f"__skeinwork_k{i}") for i, k in enumerate(keys)), "__skeinwork_first")
+    last = first.orderBy(F.col("__skeinwork_first").desc()).limit(1).select(F.struct(*keys).alias("__skeinwork_other"), F.col("__skeinwork_first").alias("__skeinwork_last"))
+    on = [F.col(k).eqNullSafe(F.col(f"__skeinwork_k{i}")) for i, k in enumerate(keys)]
+    # Both tables have at most most + 1 rows, one of them always a single row. The other
+    # is broadcast by hint only while the caller's number keeps it small.
+    small = F.broadcast(kept) if most <= MOST_BROADCAST_KEYS else kept
+    joined = df.join(small, on, "left").join(F.broadcast(last), F.lit(True), "left")
+    return joined.withColumns({k: F.when(F.col("__skeinwork_first").isNotNull(), F.col(k)).otherwise(F.col(f"__skeinwork_other.{k}")) for k in keys}).drop("__skeinwork_other", "__skeinwork_last", "__skeinwork_first", *(f"__skeinwork_k{i}" for i in range(len(keys))))
+
+
+def best_effort_group_aggregate(df: DataFrame, keys: list[str], spec: AggregationSpecification, order_by: list[Column] | None = None) -> DataFrame:
+    """Groups that are complete as far as one task of the input sees them: a key may come
+    out once a task, and no key, however frequent, gathers rows of all tasks. For callers
+    that merge such rows again; FIRST, LAST and CONCAT are by ``order_by`` within a task."""
+    if not keys:
+        return group_aggregate(df, keys, spec, order_by)
+    _, made = _bind(df, keys, spec, order_by)
+    tagged = df.withColumn("__skeinwork_task", F.spark_partition_id())
+    named = [F.col(f"`{k}`") for k in keys]
+    if not made:
+        return tagged.dropDuplicates(["__skeinwork_task", *keys]).select(*named)
+    return tagged.groupBy("__skeinwork_task", *named).agg(*_named(made)).drop("__skeinwork_task")
 
 
-#: Spark aggregates in part before the shuffle and spills by itself.
-best_effort_group_aggregate = hybrid_group_aggregate = group_aggregate
+def hybrid_group_aggregate(df: DataFrame, keys: list[str], spec: AggregationSpecification, order_by: list[Column] | None = None) -> DataFrame:
+    """Complete groups whatever their number: Spark aggregates in part before the
+    shuffle, and sorts and spills where hash tables outgrow their memory, so a quota and
+    a temporary folder are settings of the session and not arguments. Plain and DISTINCT
+    aggregates may be mixed."""
+    return group_aggregate(df, keys, spec, order_by)
 
 
 def scalar_aggregate(df: DataFrame, spec: AggregationSpecification, order_by: list[Column] | None = None) -> DataFrame:
@@ -154,13 +177,13 @@ def scalar_aggregate(df: DataFrame, spec: AggregationSpecification, order_by: li
 
 def aggregate_clusters(df: DataFrame, keys: list[str], spec: AggregationSpecification, order_by: list[Column]) -> DataFrame:
     """One row for each run of neighbouring rows with equal keys, in input order
-    (column ``__cluster`` of the plan orders them; it is not returned)."""
+    (column ``__skeinwork_cluster`` of the plan orders them; it is not returned)."""
     if not keys:
         return group_aggregate(df, keys, spec, order_by)
     _, made = _bind(df, keys, spec, order_by)
-    rows = _changed(parted(df, order_by), F.struct(*keys), "__starts")
-    clusters = numbered_segments(rows, F.col("__starts"), "__cluster").drop(PART, PLACE, "__starts")
-    return clusters.groupBy("__cluster", *keys).agg(*_named(made)).drop("__cluster")
+    rows = _changed(parted(df, order_by), F.struct(*keys), "__skeinwork_starts")
+    clusters = numbered_segments(rows, F.col("__skeinwork_starts"), "__skeinwork_cluster").drop(PART, PLACE, "__skeinwork_starts")
+    return clusters.groupBy("__skeinwork_cluster", *keys).agg(*_named(made)).drop("__skeinwork_cluster")
 
 
 def distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -60,8 +60,8 @@ def first_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     before the shuffle; a hot key is no burden to one task."""
     place = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))
     rest = [c for c in df.columns if c not in keys]
-    kept = df.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(F.min_by(F.struct(*(F.col(f"`{c}`").alias(c) for c in rest), F.lit(0).alias("__")), place).alias("__row"))
-    return kept.select(*(F.col(f"`{c}`") if c in keys else F.col(f"__row.`{c}`").alias(c) for c in df.columns))
+    kept = df.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(F.min_by(F.struct(*(F.col(f"`{c}`").alias(c) for c in rest), F.lit(0).alias("__")), place).alias("__skeinwork_row"))
+    return kept.select(*(F.col(f"`{c}`") if c in keys else F.col(f"__skeinwork_row.`{c}`").alias(c) for c in df.columns))
 
 
 def hash_join(
@@ -99,11 +99,11 @@ def rowid_merge_join(left: DataFrame, left_key: str, right: DataFrame, right_ord
     schemas = [schema_of(left), schema_of(right)]
     if schemas[0][left_key].type != INT64:
         fail("ERROR_ATTRIBUTE_TYPE_MISMATCH", f"{left_key} must be INT64")
-    numbered = with_ordinal(right, right_order, "__row_id")
+    numbered = with_ordinal(right, right_order, "__skeinwork_row_id")
     l, r = _prefixed(left, "l"), _prefixed(numbered, "r")
-    joined = l.join(r, F.col(f"`l.{left_key}`") == F.col("`r.__row_id`"), "left")
+    joined = l.join(r, F.col(f"`l.{left_key}`") == F.col("`r.__skeinwork_row_id`"), "left")
     dangling = F.raise_error(F.concat(F.lit("ERROR_FOREIGN_KEY_INVALID: no row "), F.col(f"`l.{left_key}`").cast("string"))).cast("boolean")
-    checked = joined.filter(F.when(F.col("`r.__row_id`").isNotNull(), True).otherwise(dangling))
+    checked = joined.filter(F.when(F.col("`r.__skeinwork_row_id`").isNotNull(), True).otherwise(dangling))
     return _projected(checked, projector, schemas, False)
 
 
@@ -113,14 +113,14 @@ def foreign_filter(filter_df: DataFrame, filter_key: str, foreign_key: str, inpu
     fk, ik = schema_of(filter_df)[filter_key], schema_of(input_df)[foreign_key]
     if fk.type != INT64 or ik.type != INT64:
         fail("ERROR_ATTRIBUTE_TYPE_MISMATCH", "filter and foreign key must be INT64")
-    places = with_ordinal(filter_df.select(F.col(filter_key).alias("__key")), [F.col("__key")], "__place")
-    joined = input_df.join(places, input_df[foreign_key] == places["__key"])
-    return joined.select(*(F.col("__place").alias(c) if c == foreign_key else input_df[c] for c in input_df.columns))
+    places = with_ordinal(filter_df.select(filter_key), [F.col(filter_key)], "__skeinwork_place").withColumnRenamed(filter_key, "__skeinwork_key")
+    joined = input_df.join(places, input_df[foreign_key] == places["__skeinwork_key"])
+    return joined.select(*(F.col("__skeinwork_place").alias(c) if c == foreign_key else input_df[c] for c in input_df.columns))
 
 
 def scan_with_selection(df: DataFrame, order: list[Column], row_ids: DataFrame, position: str = "position", row_id: str = "row_id") -> DataFrame:
     """The rows that ``row_ids`` names, as often as it names them, by its positions."""
-    numbered = with_ordinal(df, order, "__row_id")
-    return row_ids.join(numbered, row_ids[row_id] == numbered["__row_id"]).orderBy(row_ids[position]).select(*(numbered[c] for c in df.columns))
+    numbered = with_ordinal(df, order, "__skeinwork_row_id")
+    return row_ids.join(numbered, row_ids[row_id] == numbered["__skeinwork_row_id"]).orderBy(row_ids[position]).select(*(numbered[c] for c in df.columns))
 
 

@@ -1,7 +1,9 @@
 """Project, compute, filter, sort, limit and the operators that align rows.
 
-Every operator takes DataFrames and returns a lazy DataFrame. Where the result
-depends on the order of rows, the order is an argument.
+Every operator takes DataFrames and returns one. Where the result depends on the order
+of rows, the order is an argument. Operators that number rows (and those built on
+numbers: zips, permutations, row-number joins, running functions, clusters) sort and
+keep their input when the plan is built; all others are lazy.
 """
 
 from __future__ import annotations
@@ -96,10 +98,13 @@ def extended_sort(df: DataFrame, spec: ExtendedSortSpecification, projector: Exp
 
 
 def sort_permutation(df: DataFrame, order: SortOrder, input_order: list[Column]) -> DataFrame:
-    """``position`` and ``row_id``: which input row comes at each place of the order."""
-    numbered = with_ordinal(df, input_order, "row_id")
-    placed = with_ordinal(numbered, [*order.columns(numbered), F.col("row_id")], "position")
-    return placed.select("position", "row_id")
+    """``position`` and ``row_id``: which input row comes at each place of the order.
+    Only the columns of the two orders are sorted and kept."""
+    values = [b.col.alias(f"key{i}") for i, b in enumerate(b for projector, _ in order.keys for b in resolve_on(df, projector))]
+    directions = [d for projector, d in order.keys for _ in resolve_on(df, projector)]
+    numbered = with_ordinal(df, input_order, "row_id", values)
+    by = [F.col(f"key{i}").asc_nulls_first() if d == ASCENDING else F.col(f"key{i}").desc_nulls_last() for i, d in enumerate(directions)]
+    return with_ordinal(numbered, [*by, F.col("row_id")], "position").select("position", "row_id")
 
 
 def limit(df: DataFrame, offset: int, count: int, order_by: list[Column]) -> DataFrame:
@@ -129,8 +134,8 @@ def coalesce(inputs: list[tuple[DataFrame, list[Column]]]) -> DataFrame:
     if len(inputs) == 1:
         return inputs[0][0]
     Schema([a for df, _ in inputs for a in schema_of(df)])  # names must differ
-    numbered = [with_ordinal(df, order, "__ordinal") for df, order in inputs]
-    return reduce(lambda a, b: a.join(b, "__ordinal"), numbered).drop("__ordinal")
+    numbered = [with_ordinal(df, order, "__skeinwork_ordinal") for df, order in inputs]
+    return reduce(lambda a, b: a.join(b, "__skeinwork_ordinal"), numbered).drop("__skeinwork_ordinal")
 
 
 def split(df: DataFrame, readers: int) -> list[DataFrame]:

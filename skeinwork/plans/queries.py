@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import operators as op
 from .. import sources
-from ..types import BOOL, DATETIME, DOUBLE, INT32, INT64, UINT32
+from ..functions import hashing
+from ..session import ensure_checkpoint_dir
+from ..types import BOOL, DATETIME, DOUBLE, INT32, INT64, STRING, UINT32, Attribute, Schema, schema_of
 from . import serde
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,17 +307,74 @@ scalar_query(
 )
 
 
-@query("fn_hashing", None)
+def _hash_sql(data: str, size: str, seed: str) -> str:
+    """The hash of ``size`` bytes; ``data`` gives the byte at place ``i`` (from 0)."""
+    primes = "[" + ", ".join(map(str, hashing.PRIMES)) + "]"
+    low = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    chunk = f"list_sum(list_transform(range(4 * t, least(4 * t + 4, {size})), lambda i: ({data})::UBIGINT << (8 * (i - 4 * t))::UBIGINT))"
+    terms = f"list_transform(range(({size} + 3) // 4), lambda t: {{'p': {primes}[t % 16 + 1]::UHUGEINT, 'c': {low(f'{chunk}::UHUGEINT * {primes}[(t + 8) % 16 + 1]::UHUGEINT')}}})"
+    step = f"lambda s, x: {{'p': 0::UHUGEINT, 'c': xor({low('s.c::UHUGEINT * x.p')}, x.c)}}"
+    return f"CAST((list_reduce({terms}, {step}, {{'p': 0::UHUGEINT, 'c': {seed}::UBIGINT}})).c AS DECIMAL(20, 0))"
+
+
+@query(
+    "fn_hashing",
+    f"""SELECT c_custkey, {_hash_sql("ascii(substr(c_name, i::INT + 1, 1))", "strlen(c_name)", str(hashing.FINGERPRINT_SEED))} AS fingerprint,
+    {_hash_sql("(c_custkey >> (8 * i)) & 255", "8", "7")} AS hash, {_hash_sql("ascii(substr(c_name, i::INT + 1, 1))", "strlen(c_name)", "18446744073709551615")} AS large_seed FROM customer""",
+)
 def _hashing(spark, sf_dir):
-    """64-bit fingerprints and hashes; values are pinned by the tests."""
-    df = table(spark, sf_dir, "nation")
-    return op.compute(df, fn.Flat(a("n_nationkey"), fn.Alias("fingerprint", fn.Fingerprint(a("n_name"))), fn.Alias("hash", fn.Hash(a("n_nationkey"), fn.ConstUint64(7)))))
+    """64-bit fingerprints and hashes of plain text and numbers."""
+    df = table(spark, sf_dir, "customer")
+    fingerprint = fn.Alias("fingerprint", fn.Fingerprint(a("c_name")))
+    hashed = fn.Alias("hash", fn.Hash(a("c_custkey"), fn.ConstUint64(7)))
+    return op.compute(df, fn.Flat(a("c_custkey"), fingerprint, hashed, fn.Alias("large_seed", fn.Hash(a("c_name"), fn.ConstUint64(2**64 - 1)))))
 
 
-@query("fn_random", None)
+@query("fn_random", "SELECT o_orderkey, TRUE AS seeded_repeats, TRUE AS whole FROM orders")
 def _random(spark, sf_dir):
-    df = table(spark, sf_dir, "nation")
-    return op.compute(df, fn.Flat(a("n_nationkey"), fn.Alias("r", fn.RandInt32(3))))
+    """What holds of every draw: a seed repeats it, and an INT32 comes out, seeded or not."""
+    r = fn.RandInt32(3)
+    whole = fn.And(fn.LessOrEqual(fn.ConstInt64(-(2**31)), fn.RandInt32()), fn.Less(r, fn.ConstInt64(2**31)))
+    return op.compute(table(spark, sf_dir, "orders"), fn.Flat(a("o_orderkey"), fn.Alias("seeded_repeats", fn.Equal(r, fn.RandInt32(3))), fn.Alias("whole", whole)))
+
+
+scalar_query(
+    "fn_constants", "orders", _KEY, {"v": "o_orderstatus"},
+    [
+        ("c_uint64", fn.CastTo(INT64, fn.ConstUint64(2**62)), "4611686018427387904"),
+        ("c_float", fn.ConstFloat(0.5), "0.5::FLOAT"),
+        ("c_binary", fn.CastTo(STRING, fn.ConstBinary(b"ab")), "'ab'"),
+        ("c_data_type", fn.ToString(fn.ConstDataType(INT32)), "'INT32'"),
+        ("c_micros", fn.ConstDateTimeFromMicrosecondsSinceEpoch(1_500_000), "TIMESTAMP '1970-01-01 00:00:01.5'"),
+        ("c_seconds", fn.ConstDateTimeFromSecondsSinceEpoch(86400.25), "TIMESTAMP '1970-01-02 00:00:00.25'"),
+        ("is_later", fn.Greater(fn.Now(), fn.ConstDateTime("2020/01/01-00:00:00")), "TRUE"),
+        ("first_column", fn.AttributeAt(0), "o_orderkey"),
+    ],
+)
+
+_INDIA = "ts + INTERVAL 330 MINUTE"
+scalar_query(
+    "fn_dates_local", "orders", _KEY, {"ts": "o_orderdate"},
+    [
+        (name, make(a("ts"), "Asia/Kolkata"), f"CAST({sql} AS INT)")
+        for name, make, sql in (
+            ("l_year", fn.YearLocal, f"year({_INDIA})"), ("l_quarter", fn.QuarterLocal, f"quarter({_INDIA})"), ("l_month", fn.MonthLocal, f"month({_INDIA})"),
+            ("l_weekday", fn.WeekdayLocal, f"isodow({_INDIA}) - 1"), ("l_yearday", fn.YearDayLocal, f"dayofyear({_INDIA})"), ("l_hour", fn.HourLocal, f"hour({_INDIA})"),
+            ("l_minute", fn.MinuteLocal, f"minute({_INDIA})"), ("l_second", fn.SecondLocal, f"second({_INDIA})"), ("l_micro", fn.MicrosecondLocal, f"epoch_us({_INDIA}) % 1000000"),
+        )
+    ],
+)
+
+scalar_query(
+    "fn_log_defaults", "orders", _KEY, _M,
+    [
+        _guarded("ln_", fn.Ln(a("g")), "ln(CASE WHEN g > 0 THEN g END)", "g > 0"),
+        _guarded("log10_", fn.Log10(a("g")), "log10(CASE WHEN g > 0 THEN g END)", "g > 0"),
+        _guarded("log_", fn.Log(a("g"), a("d")), "ln(d) / ln(CASE WHEN g > 1 THEN g END)", "g > 1 AND d > 0"),
+        _pair("sqrt_", fn.Sqrt(a("d")), "sqrt(d)"),
+        ("sqrt_nan", fn.IsNaN(fn.Sqrt(a("u"))), "u < 0"),
+    ],
+)
 
 
 # --------------------------------------------------------------------------
@@ -343,6 +403,29 @@ def _project(spark, sf_dir):
     return op.project(df, fn.Flat(fn.ProjectAttributeAt(1), fn.ProjectNamedAttributeAs("o_orderkey", "key_"), prefixed, fn.ProjectRenameSingle("again", fn.ProjectAttributesAt([0]))))
 
 
+@query("op_project_all", "SELECT r_regionkey, r_name, r_regionkey AS p_r_regionkey, r_name AS p_r_name, r_name AS second, r_regionkey AS first FROM region")
+def _project_all(spark, sf_dir):
+    named = fn.CompoundSingleSourceProjector().add(fn.ProjectAttributeAtAs(1, "second")).add_as("first", fn.ProjectNamedAttribute("r_regionkey"))
+    all_ = fn.InputAttributeProjection(fn.ProjectAllAttributes())
+    return op.project(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), fn.Projection(all_, fn.ProjectAllAttributes("p_"), named))
+
+
+@query("op_table_scan", "SELECT * FROM (VALUES (1::BIGINT, 'one'), (2, NULL), (1, 'one')) AS t(k, v)")
+def _table_scan(spark, sf_dir):
+    held = sources.Table(spark, Schema([Attribute("k", INT64, False), Attribute("v", STRING, True)]))
+    return sources.scan_view(held.append(1, "one").append(2, None).append(1, "one").scan())
+
+
+@query("op_file_roundtrip", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def _roundtrip(spark, sf_dir):
+    """Written as a file and by a writer into a sink, and read back, by its schema too."""
+    path = f"{ensure_checkpoint_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    sources.file_output(df, f"{path}/file")
+    sources.Writer(df).write_all(sources.FileSink(f"{path}/sink"))
+    return sources.file_input(spark, f"{path}/file").unionByName(sources.file_input(spark, f"{path}/sink", schema_of(df)))
+
+
 @query("op_compute", "SELECT CAST(o_orderkey * 2 AS BIGINT) AS twice, o_totalprice > 100000 AS dear FROM orders")
 def _compute(spark, sf_dir):
     e = fn.CompoundExpression().add_as("twice", fn.Multiply(a("o_orderkey"), fn.ConstInt64(2))).add_as_multi(["dear"], fn.Greater(a("o_totalprice"), fn.ConstDouble(1e5)))
@@ -355,9 +438,9 @@ def _filter(spark, sf_dir):
     return op.filter_rows(table(spark, sf_dir, "orders"), p, fn.ProjectNamedAttributes(["o_orderkey", "o_totalprice"]))
 
 
-@query("op_foreign_filter", "WITH f AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer WHERE c_custkey % 3 = 0) SELECT place AS o_custkey, o_orderkey FROM orders JOIN f ON o_custkey = c_custkey")
+@query("op_foreign_filter", "WITH f AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer WHERE c_mktsegment = 'BUILDING') SELECT place AS o_custkey, o_orderkey FROM orders JOIN f ON o_custkey = c_custkey")
 def _foreign(spark, sf_dir):
-    keys = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey")
+    keys = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
     return op.foreign_filter(keys, "c_custkey", "o_custkey", table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"))
 
 
@@ -435,19 +518,27 @@ def _null_keys(spark, sf_dir):
     return op.project(g, fn.Flat(fn.ProjectNamedAttributes(["v", "event_type", "n"]), fn.Alias("s", fn.RoundToInt(fn.Multiply(a("s"), fn.ConstDouble(100))))))
 
 
-@query("op_group_no_keys_empty", "SELECT * FROM (SELECT count(*) AS n, sum(user_id)::BIGINT AS s FROM events WHERE user_id < 0) WHERE n > 0")
-def _no_rows(spark, sf_dir):
-    return op.group_aggregate(_events(spark, sf_dir).filter("user_id < 0"), [], op.AggregationSpecification().add(op.COUNT, "", "n").add(op.SUM, "user_id", "s"))
+@query("op_group_no_keys", "SELECT * FROM (SELECT count(*) AS n, sum(user_id)::BIGINT AS s FROM events) WHERE n > 0")
+def _no_keys(spark, sf_dir):
+    return op.group_aggregate(_events(spark, sf_dir), [], op.AggregationSpecification().add(op.COUNT, "", "n").add(op.SUM, "user_id", "s"))
 
 
-@query("op_scalar_aggregate", "SELECT count(*) AS n, sum(user_id)::BIGINT AS s, max(event_type) AS m FROM events WHERE user_id < 0")
+@query("op_scalar_aggregate", "SELECT count(*) AS n, sum(user_id)::BIGINT AS s, max(event_type) AS m FROM events")
 def _scalar(spark, sf_dir):
-    return op.scalar_aggregate(_events(spark, sf_dir).filter("user_id < 0"), op.AggregationSpecification().add(op.COUNT, "", "n").add(op.SUM, "user_id", "s").add(op.MAX, "event_type", "m"))
+    return op.scalar_aggregate(_events(spark, sf_dir), op.AggregationSpecification().add(op.COUNT, "", "n").add(op.SUM, "user_id", "s").add(op.MAX, "event_type", "m"))
 
 
-@query("op_scalar_aggregate_all", "SELECT count(*) AS n, sum(user_id)::BIGINT AS s, max(event_type) AS m FROM events")
-def _scalar_all(spark, sf_dir):
-    return op.scalar_aggregate(_events(spark, sf_dir), op.AggregationSpecification().add(op.COUNT, "", "n").add(op.SUM, "user_id", "s").add(op.MAX, "event_type", "m"))
+@query("op_group_hybrid", f"SELECT user_id, v, {_AGGREGATES} FROM {_EVENTS} GROUP BY user_id, v")
+def _hybrid(spark, sf_dir):
+    """Nearly as many groups as rows, plain and DISTINCT aggregates mixed."""
+    return op.hybrid_group_aggregate(_events(spark, sf_dir), ["user_id", "v"], _all_aggregates(), by("event_id"))
+
+
+@query("op_group_best_effort", f"SELECT user_id, count(*) AS n, sum(v)::INT AS s, max(v) AS hi FROM {_EVENTS} GROUP BY user_id")
+def _best_effort(spark, sf_dir):
+    """A task's groups, merged again."""
+    some = op.best_effort_group_aggregate(_events(spark, sf_dir), ["user_id"], op.AggregationSpecification().add(op.COUNT, "", "n").add(op.SUM, "v", "s").add(op.MAX, "v", "hi"))
+    return op.group_aggregate(some, ["user_id"], op.AggregationSpecification().add(op.SUM, "n", "n").add(op.SUM, "s", "s").add(op.MAX, "hi", "hi"))
 
 
 @query("op_distinct", "SELECT DISTINCT event_type, user_id FROM events")
@@ -537,6 +628,18 @@ def _running_sum(spark, sf_dir):
     return op.running_sum(_events(spark, sf_dir), "v", by("event_id"), "r").select("event_id", "r")
 
 
+@query(
+    "fn_running_sum_wrapped",
+    """WITH t AS (SELECT event_id, sum((event_id % 7 - 2)::HUGEINT * 400000000) OVER w AS i, sum((event_id % 4)::HUGEINT * 3000000000000000000) OVER w AS b FROM events WINDOW w AS (ORDER BY event_id))
+    SELECT event_id, (((i + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)::INT AS r32, ((b + 9223372036854775808) % 18446744073709551616 - 9223372036854775808)::BIGINT AS r64 FROM t""",
+)
+def _running_sum_wrapped(spark, sf_dir):
+    """Sums that leave their type wrap."""
+    df = table(spark, sf_dir, "events").selectExpr("event_id", "CAST((event_id % 7 - 2) * 400000000 AS INT) AS i", "CAST((event_id % 4) * 3000000000000000000 AS BIGINT) AS b")
+    one = op.running_sum(df, "i", by("event_id"), "r32")
+    return op.running_sum(one, "b", by("event_id"), "r64").select("event_id", "r32", "r64")
+
+
 @query("fn_smudge", f"SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id) AS r FROM {_EVENTS}")
 def _smudge(spark, sf_dir):
     return op.smudge(_events(spark, sf_dir), "v", by("event_id"), "r").select("event_id", "r")

@@ -58,12 +58,12 @@ def repeating_block(df: DataFrame, rows: int, order: list) -> DataFrame:
     """The rows again and again, in order, ``rows`` in all."""
     from ..operators.ordinals import with_ordinal
 
-    numbered = with_ordinal(df, order, "__k")
+    numbered = with_ordinal(df, order, "__skeinwork_k")
     n = numbered.count()
     if not n:
         fail("ERROR_TOO_FEW_ROWS", "nothing to repeat")
-    turns = df.sparkSession.range(rows).select(F.col("id").alias("__id"), (F.col("id") % n).alias("__k"))
-    return turns.join(numbered, "__k").orderBy("__id").drop("__k", "__id")
+    turns = df.sparkSession.range(rows).select(F.col("id").alias("__skeinwork_id"), (F.col("id") % n).alias("__skeinwork_k"))
+    return turns.join(numbered, "__skeinwork_k").orderBy("__skeinwork_id").drop("__skeinwork_k", "__skeinwork_id")
 
 
 class Sink:

@@ -44,7 +44,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_a_scalar_aggregate_reads_the_whole_table(spark):
-    (r,) = queries.QUERIES["op_scalar_aggregate_all"](spark, SF).collect()
+    (r,) = queries.QUERIES["op_scalar_aggregate"](spark, SF).collect()
     assert r["n"] == spark.read.parquet(f"{SF}/events.parquet").count() > 0
 
 
