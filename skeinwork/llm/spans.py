@@ -72,7 +72,7 @@ def _closing(words: list[str]) -> list[int]:
     if n <= 2 * FAR:
         return []
     lo = FAR - NEAR
-    h = [xxhash.xxh64_intdigest(w) for w in words[lo : n - lo]]
+    h = [xxhash.xxh3_64_intdigest(w) for w in words[lo : n - lo]]
     out = []
     for k in range(NEAR, len(h) - NEAR):
         x = h[k]
@@ -102,12 +102,14 @@ def _pieces(text: str) -> tuple[list[int], list[list[str]], list[int]]:
             kinds.append(WHOLE)
             closing = _closing(words)
             if closing:
-                where = [at + m.start() for m in (words_of or _word).finditer(part)]
-                lo, n = 0, len(words)
+                where = [m.start() for m in words_of.finditer(part)] if words_of else None
+                lo, n, rest = 0, len(words), part
                 for c in closing:
                     pieces.append(words[lo : c + 1])
+                    if not words_of:  # the part from the next piece on
+                        rest = rest.split(None, c + 1 - lo)[-1]
                     lo = c + 1
-                    starts.append(where[lo])
+                    starts.append(at + where[lo] if words_of else end - len(rest))
                     kinds.append(COUNTED if WORDS <= c < n - WORDS else INNER)
                 words = words[lo:]
             pieces.append(words)

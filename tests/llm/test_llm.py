@@ -509,6 +509,19 @@ def test_near_duplicates_of_a_ragged_group(spark):
     assert got == bag(brute_components(rows, 3, 85))
 
 
+def test_near_duplicates_of_large_groups(spark):
+    """20,000 near copies, which all link to one leader, and 5,000 texts that share most
+    of their words and many buckets but are not similar enough."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choices("aeioutnsrhl", k=7))
+    base, common = [word() for _ in range(120)], [word() for _ in range(75)]
+    rows = [(i, " ".join([*base[: i % 120], f"x{i}", *base[i % 120 + 1 :]])) for i in range(20_000)]
+    rows += [(100_000 + i, " ".join([*common, *(f"y{i}w{k}" for k in range(25))])) for i in range(5_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    out = {x["doc_id"]: x["component_id"] for x in near_duplicates.near_duplicates(df).collect()}
+    assert out == {i: 0 if i < 20_000 else i for i, _ in rows}
+
+
 def test_drop_near_duplicates(docs, empty, corpus):
     kept = near_duplicates.drop_near_duplicates(docs, 80, 5)
     assert kept.columns == docs.columns
