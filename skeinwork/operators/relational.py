@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import fail
 from ..functions.core import Expr, bound_select, resolve_on, want
 from ..functions.strings import upper_ascii
+from ..session import durable
 from ..types import BOOL, Schema, schema_of
 from .ordinals import with_ordinal
 
@@ -139,6 +140,6 @@ def coalesce(inputs: list[tuple[DataFrame, list[Column]]]) -> DataFrame:
 
 
 def split(df: DataFrame, readers: int) -> list[DataFrame]:
-    """One input for several readers: computed once, on disk if it is large."""
-    kept = df.persist()
-    return [kept] * readers
+    """One input for several readers: computed once and kept on shared storage, so that
+    a lost executor takes nothing with it; Spark drops it with the last reader."""
+    return [durable(df)] * readers

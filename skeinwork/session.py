@@ -8,6 +8,11 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Settings that a session should have. A generated method of more than 8000 bytes is
+#: never compiled by the JVM and runs interpreted: beyond that, wide projections are
+#: faster without whole-stage code.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.adaptive.enabled": "true"}
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.

@@ -179,6 +179,14 @@ def test_regexps(spark):
     assert one(spark, fn.RegexpExtract(s("none"), r"key=(\d)")) is None
     assert one(spark, fn.RegexpExtract(s("key"), "key")) is None
     assert one(spark, fn.RegexpReplace(s("a1b2"), r"([0-9])", s(r"<\1$>"))) == "a<1$>b<2$>"
+    # Groups: 0 is the whole match; a constant that names more than there are is refused.
+    assert one(spark, fn.RegexpReplace(s("ab"), "(a)(b)", s(r"\2\0\1"))) == "baba"
+    for pattern, new in ((r"(a)", r"\9"), ("a", r"x\1"), ("(a)(b)", r"\3")):
+        assert code_of(lambda: one(spark, fn.RegexpReplace(s("ab"), pattern, s(new)))) == ReturnCode.ERROR_INVALID_ARGUMENT_VALUE
+    e = fn.RegexpReplace(s("ab"), "(a)", a("n"))
+    assert values(spark, e, [(r"<\1>",), (None,)], "n string") == ["<a>b", None]
+    with pytest.raises(Exception, match="ERROR_EVALUATION_ERROR"):
+        values(spark, e, [(r"\1",), (r"\2",)], "n string")
     for bad in ("(", "(?=x)", r"(a)\1"):
         assert code_of(lambda: fn.RegexpPartialMatch(s("x"), bad)) == ReturnCode.ERROR_INVALID_ARGUMENT_VALUE
 

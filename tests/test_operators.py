@@ -246,3 +246,69 @@ def test_ordinals_need_no_single_task(spark):
     out = op.with_ordinal(df, [F.col("k")], "o")
     assert got(out.filter("o <> k")) == []
     assert "SinglePartition" not in op.with_ordinal(df, [F.col("k")], "o").select("k")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_reserved_names_are_refused(spark):
+    df = spark.createDataFrame([(1, 2)], "i int, __skeinwork_range int")
+    order = [F.col("i")]
+    for make in (lambda: op.sequence(df, order), lambda: op.running_sum(df, "i", order, "r"), lambda: op.aggregate_clusters(df, ["i"], spec((op.COUNT, "", "n")), order)):
+        assert code_of(make) == ReturnCode.ERROR_ATTRIBUTE_EXISTS
+    plain = spark.createDataFrame([(1, 2), (1, 5), (3, 4)], "i int, __range int")
+    assert code_of(lambda: op.sequence(plain, order, "__skeinwork_n")) == ReturnCode.ERROR_ATTRIBUTE_EXISTS
+    assert code_of(lambda: op.aggregate_clusters(plain, ["i"], spec((op.SUM, "__range", "__skeinwork_cluster")), order)) == ReturnCode.ERROR_ATTRIBUTE_EXISTS
+    # Names that only look like helpers are carried.
+    assert bag(op.running_sum(plain, "__range", [F.col("i"), F.col("__range")], "r")) == [(1, 2, 2), (1, 5, 7), (3, 4, 11)]
+    assert bag(op.aggregate_clusters(plain, ["i"], spec((op.SUM, "__range", "__cluster")), order)) == [(1, 7), (3, 4)]
+
+
+def test_running_sums_wrap(frame):
+    rows = [(i, 2**31 - 1, 2**63 - 1, 0.5) for i in range(5)]
+    df = frame(rows, "i int, a int, b bigint, c double")
+    by_i = lambda d: [r["r"] for r in d.orderBy("i").collect()]
+    wrapped = lambda v, bits: [(v * (k + 1) + 2 ** (bits - 1)) % 2**bits - 2 ** (bits - 1) for k in range(5)]
+    order = [F.col("i")]
+    assert by_i(op.running_sum(df, "a", order, "r")) == wrapped(2**31 - 1, 32)
+    assert by_i(op.running_sum(df, "b", order, "r")) == wrapped(2**63 - 1, 64)
+    assert by_i(op.running_sum(df, "c", order, "r")) == [0.5, 1.0, 1.5, 2.0, 2.5]
+    assert dict(op.running_sum(df, "b", order, "r").dtypes)["r"] == "bigint"
+
+
+def test_best_effort_and_hybrid_groups(frame):
+    df = frame([(i, i % 3, i) for i in range(30)], "i int, k int, v bigint")
+    one = spec((op.COUNT, "", "n"), (op.SUM, "v", "s"))
+    whole = [(k, 10, sum(range(k, 30, 3))) for k in range(3)]
+    assert bag(op.hybrid_group_aggregate(df, ["k"], one)) == whole
+    parts = op.best_effort_group_aggregate(df, ["k"], one)
+    assert parts.columns == ["k", "n", "s"] and parts.count() <= 3 * df.rdd.getNumPartitions()
+    assert bag(op.group_aggregate(parts, ["k"], spec((op.SUM, "n", "n"), (op.SUM, "s", "s")))) == whole
+    assert bag(op.best_effort_group_aggregate(df, [], one)) == [(30, 435)]
+    assert {r[0] for r in got(op.best_effort_group_aggregate(df, ["k"], op.AggregationSpecification()))} == {0, 1, 2}
+
+
+def test_spy_and_profile(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string")
+    watched, seen = op.spy(df, "rows")
+    assert bag(op.filter_rows(watched, fn.Greater(a("k"), fn.ConstInt32(1)))) == [(2, None), (3, "c")]
+    assert seen.get == {"rows": 3, "rows_with_nulls": 1}
+    found = op.profile(op.group_aggregate(df, ["v"], spec((op.COUNT, "", "n"))))
+    names = [name for _, name, _ in found]
+    assert "Exchange" in names and any("Aggregate" in n for n in names) and found[0][0] == 0
+    assert any(m.get("numOutputRows") == 3 for _, _, m in found)
+
+
+def test_interrupt(spark):
+    import threading
+    import time
+
+    stop = op.Interrupt(spark)
+    slow = spark.range(4, numPartitions=4).selectExpr("java_method('java.lang.Thread', 'sleep', 60000L + id)")
+    threading.Timer(3, stop.interrupt).start()
+    began = time.time()
+
+    def run():
+        with op.interruptible(stop):
+            slow.collect()
+
+    assert code_of(run) == ReturnCode.INTERRUPTED and time.time() - began < 50
+    assert code_of(run) == ReturnCode.INTERRUPTED
+    assert spark.range(3).count() == 3
