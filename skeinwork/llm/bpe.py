@@ -65,8 +65,13 @@ class ByteBPE:
     """Encoder and decoder of one rank file and pattern."""
 
     def __init__(self, path: str, pattern: str):
+        import public_tokenizers
         from tokenizers import Tokenizer, models, pre_tokenizers
 
+        # Known of this pattern: no piece holds an inner space, a space and letters are one
+        # piece, and a piece is settled by two characters after it. Any other is applied to
+        # whole texts.
+        self.by_units = pattern == public_tokenizers.PATTERN
         self.tokens = read_ranks(path)
         self.rank = {t: k for k, t in enumerate(self.tokens)}
         stand_in = byte_characters()
@@ -113,8 +118,10 @@ class ByteBPE:
         No piece holds a space but at its start or among white space. So a text cut
         before its single spaces is encoded unit by unit, and units recur. A unit
         that is empty, or begins or ends with white space, sends its text the plain
-        way, as a whole.
+        way, as a whole. So do all texts if the pattern is another.
         """
+        if not self.by_units:
+            return [list(ids) for ids in self._plain([t or "" for t in texts])]
         units = [t.split(" ") if t else [""] for t in texts]
         known = self.unit_ids
         if len(known) > UNITS_KEPT:

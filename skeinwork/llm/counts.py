@@ -101,7 +101,14 @@ class CountedText:
             node //= 2
 
     def edit(self, start: int, end: int, new: str) -> None:
-        """Replace the characters from ``start`` to ``end`` of the text as it is now."""
+        """Replace the characters from ``start`` to ``end`` of the text as it is now. With
+        a pattern of which it is not known how far it looks, the whole text is split anew."""
+        if not self.counter.coder.by_units:
+            text = self.text()
+            pieces, before = self.counter.coder.pieces(text[:start] + new + text[end:]), self.reencoded
+            self.__init__(pieces, self.counter)
+            self.reencoded = before + len(pieces)
+            return
         length = self.chars[1]
         first, low = self._find(max(0, min(start - CONTEXT, length - 1)))
         last, _ = self._find(max(0, min(end, length - 1)))

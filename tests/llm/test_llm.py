@@ -730,6 +730,22 @@ def test_edited_counts(docs, empty, corpus, plain):
     assert counts.edited_counts(empty).count() == 0
 
 
+def test_other_patterns_are_applied_to_whole_texts():
+    """A pattern whose pieces hold spaces and look far ahead."""
+    import public_tokenizers
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), r"[A-Za-z]+(?: [A-Za-z]+)*(?=\s*!)|\s*[\r\n]+|\S+|\s+"
+    coder = bpe.ByteBPE(path, pattern)
+    plain = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks={t: k for k, t in enumerate(coder.tokens)}, special_tokens={})
+    texts = ["one two three four   !", "a b c\n\n  d e !", "", None, " x  y\r\n z"]
+    assert coder.encode_batch(texts) == [plain.encode_ordinary(t or "") for t in texts]
+    counter = counts.PieceCounter(coder)
+    tree = counts.CountedText(coder.pieces("one two three four. five"), counter)
+    tree.apply([(18, 19, " !"), (20, 24, "\n\nsix")])
+    assert tree.text() == "one two three four ! \n\nsix" and tree.total == len(plain.encode_ordinary(tree.text()))
+
+
 # --------------------------------------------------------------------------
 
 
