@@ -55,7 +55,7 @@ _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 @contextmanager
 def freeing_shuffles(spark: SparkSession):
     """Within it, each job's shuffle files go when the job has ended."""
-    before = spark.conf.get(_FREE_SHUFFLES)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
     spark.conf.set(_FREE_SHUFFLES, "true")
     try:
         yield
