@@ -29,13 +29,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         told = looked_up(both, "v", labels.select(F.col("node").alias("v"), "component"), hubs)
         heard = told.groupBy(F.col("u").alias("node")).agg(F.min("component").alias("heard"))
         lower = scratch.keep(labels.join(heard, "node").select("node", F.least("component", "heard").alias("to"), "component"))
+        if lower.filter("to <> component").isEmpty():
+            # Neighbours agree everywhere, so each component has one label, its least node.
+            scratch.drop(both, lower)
+            return labels.select("node", "component")
         common = heavy_keys(lower.groupBy("to").agg(F.count("*").alias("n")), "to", n_nodes)
         further = lower.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        new = scratch.keep(
-            looked_up(lower, "to", further, common).select("node", F.col("further").alias("component"), (F.col("further") != F.col("component")).alias("moved"))
-        )
+        new = scratch.keep(looked_up(lower, "to", further, common).select("node", F.col("further").alias("component")))
         scratch.drop(labels, lower)
         labels = new
-        if labels.filter("moved").isEmpty():
-            scratch.drop(both)
-            return labels.select("node", "component")
