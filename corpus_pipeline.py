@@ -2,6 +2,7 @@
 
 Quality rules drop documents, near duplicates lose all but one of each group,
 secrets are redacted, sources are mixed to their weights, and the mix is encoded.
+Stages with Python steps bound the bytes of the session's Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,24 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm import bpe, mixing, near_duplicates, quality, secrets
-from skeinwork.session import delete, ensure_checkpoint_dir, scratch_ends
+from skeinwork.session import bound_batches, delete, ensure_checkpoint_dir, scratch_ends
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are at least as likely good as not. Null,
     empty and very short texts go; rows that repeat stay or go together."""
+    bound_batches(spark)
     return quality.keep_good(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity of 0.8 or more: of each group the document with the
     least id stays, of rows that repeat id and text one; wordless rows all stay."""
+    bound_batches(spark)
     return near_duplicates.drop_near_duplicates(docs, limit=80, words=5)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each secret becomes its kind in brackets, and ``n_chars`` the new length (null for
     a null text); no row goes."""
+    bound_batches(spark)
     return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -42,6 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``source``, ``n_tokens`` and ``ids`` of each row; a null or empty text
     has no tokens. Columns that documents has besides are not read."""
+    bound_batches(spark)
     coded = bpe.encode(docs.select("doc_id", "source", "text"))
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

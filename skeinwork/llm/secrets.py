@@ -360,13 +360,13 @@ class _Backwards:
 
 
 class Scanner:
-    """Runs a machine over bytes. Built once a task."""
+    """Runs a machine over bytes."""
 
     def __init__(self, machine: Machine):
         self.rules = machine.rules
         rows = [[None] * 258 for _ in machine.table]
-        for row, nxt, ended, opened in zip(rows, machine.table.tolist(), machine.ended.tolist(), machine.open.tolist()):
-            row[:256] = [rows[k] for k in nxt]
+        for row, nxt, ended, opened in zip(rows, machine.table, machine.ended.tolist(), machine.open.tolist()):
+            row[:256] = [rows[k] for k in nxt.tolist()]
             row[256], row[257] = ended, opened
         self.start = rows[0]
         self.back = [_Backwards(r) for r in machine.rules]
@@ -418,6 +418,16 @@ class Scanner:
 
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
+_scanners: dict[tuple[Rule, ...], Scanner] = {}
+
+
+def scanner_of(machine: Machine) -> Scanner:
+    """The process's scanner of these rules; the last one is kept for the next task. It
+    takes some 15 MB, and its rows refer to one another, so it goes late."""
+    if machine.rules not in _scanners:
+        _scanners.clear()
+        _scanners[machine.rules] = Scanner(machine)
+    return _scanners[machine.rules]
 
 
 def _joined(spans) -> str:
@@ -433,7 +443,7 @@ def scan_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
     schema = T.StructType([df.schema[id_col], T.StructField("found", SPAN)])
 
     def make():
-        scanner = Scanner(machine)
+        scanner = scanner_of(machine)
 
         def work(cols):
             return {
@@ -452,7 +462,7 @@ def redact_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     machine = compile_rules(rules)
 
     def make():
-        scanner = Scanner(machine)
+        scanner = scanner_of(machine)
 
         def clean(data):
             if data is None:
@@ -482,7 +492,7 @@ def op1_secret_scans(spark, sf_dir: str) -> DataFrame:
     )
 
     def make():
-        scanner = Scanner(machine)
+        scanner = scanner_of(machine)
 
         def work(cols):
             out = {f.name: [] for f in schema.fields}

@@ -63,6 +63,20 @@ def freeing_shuffles(spark: SparkSession):
         spark.conf.set(_FREE_SHUFFLES, before)
 
 
+#: Bytes of an Arrow batch that Python steps read. Spark's own bound is 64 MB: then each
+#: running task holds such a batch several times, in the JVM's buffers and in its worker.
+BATCH_BYTES = 2 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Python steps of the session read batches of about BATCH_BYTES, unless
+    it has a bound of its own. Tasks look the bound up as they run, so it stays for
+    results that are yet to be computed. A single longer row is a batch of its own."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
 _scopes: list[list[str]] = []
 
 

@@ -4,13 +4,16 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from skeinwork import session
 from skeinwork.llm import bpe, counts, mixing, near_duplicates, quality, secrets, sharding, spans, topk, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,6 +102,19 @@ def test_secret_rules_that_need_a_second_pass_are_refused():
         secrets.compile_rules((secrets.Rule("x", "ab(?:cd)?"),))
 
 
+def test_a_scanner_is_small_and_shared():
+    machine = secrets.compile_rules()
+    tracemalloc.start()
+    try:
+        scanner = secrets.scanner_of(machine)
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20  # 6652 states of 258 references take 14 MB
+    finally:
+        tracemalloc.stop()
+    assert secrets.scanner_of(secrets.compile_rules()) is scanner
+    few = secrets.scanner_of(secrets.compile_rules(secrets.RULES[:1]))
+    assert few is not scanner and few.spans(b"token: abcdef") == [("assign", 0, 13)]
+
+
 def test_whole_private_keys_are_redacted(spark):
     key = "MIIEvQIBADANBgkqhkiG9w0BAQEFAASC\n" * 4 + "BKcwggSjAgEA+/==\n"
     pem = lambda kind, body: f"-----BEGIN {kind}PRIVATE KEY-----\n{body}-----END {kind}PRIVATE KEY-----"
@@ -869,6 +885,32 @@ def test_pipeline_and_operators_leave_only_what_results_need(spark):
     assert len(files_in_checkpoint_dir(spark) - before) == 2  # the documents' nodes and the nodes' components
 
 
+def test_pipeline_bounds_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 1500)").alias("text"), F.lit("s").alias("source"))
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    try:
+        for stage in (corpus_pipeline.quality_rules, corpus_pipeline.minhash_near_dedup, corpus_pipeline.secret_scans, corpus_pipeline.byte_bpe):
+            spark.conf.unset(name)
+            some = docs.limit(5)
+            assert stage(spark, some, "").schema and int(spark.conf.get(name)) == session.BATCH_BYTES
+        out = corpus_pipeline.secret_scans(spark, docs, "")
+        sizes = [r["bytes"] for r in out.mapInArrow(seen, "bytes long").collect()]
+        assert sum(sizes) > 30_000_000 and max(sizes) < 1.1 * session.BATCH_BYTES
+        spark.conf.set(name, "8m")  # a caller's own bound stays
+        corpus_pipeline.secret_scans(spark, docs, "")
+        assert spark.conf.get(name) == "8m"
+    finally:
+        spark.conf.unset(name)
+        if before is not None:
+            spark.conf.set(name, before)
+
+
 def test_pipeline_of_awkward_tables(spark, tmp_path):
     """Empty, then with clashing names, rows that repeat, nulls and a text of 5 MB."""
     ddl = DDL + ", payload string, place bigint, row string, pattern string, key bigint"
